@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import langid, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
+    "op4_quality": quality.op4,
+    "op5_language": langid.op5,
+    "op8_toxicity": toxicity.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {}
