@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -63,13 +64,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_binary(df: DataFrame, path: str) -> None:
-    """Writes the binary column `bytes` row after row; each task makes one file, a NUL byte ends each row.
+def write_binary(df: DataFrame, path: str, rows_a_file: int = 0) -> None:
+    """Writes the binary column `bytes` row after row, a NUL byte after each; a task makes one file (0) or more.
 
     Spark's own writer and committer do the work, so any store that Spark can write will do and a task that is run
     again leaves no half file. Formats on top make the NUL the last byte of a row's own bytes or skip it as padding.
     """
-    df.select(F.col("bytes").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    rows = df.select(F.col("bytes").cast("string"))
+    rows.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", rows_a_file).text(path)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +79,11 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table out of a literal; no Python worker and no RDD take part."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding, toxicity
+from . import langid, mixing, quality, sharding, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
+    "op2_warc": warc.op2,
     "op4_quality": quality.op4,
     "op5_language": langid.op5,
+    "op6_tokens": tokens.op6,
+    "op7_mixing": mixing.op7,
     "op8_toxicity": toxicity.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+}

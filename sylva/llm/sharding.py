@@ -7,13 +7,12 @@ between the fullest and the emptiest shard, and stores the result as the map's n
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, number_within
+from .common import Scratch, literal_rows, number_within
 
 SLOTS = 8192
 #: Rows of a slot that one task sorts; larger slots are dealt over more tasks.
@@ -105,9 +104,8 @@ class SlotMap:
     def store(self, shard_of: list[int], weight: list[int]) -> int:
         """Appends a version. The rows travel as one literal, so no Python worker is needed to write them."""
         self.version += 1
-        rows = json.dumps([{"vslot": k, "shard": s, "bytes": w} for k, (s, w) in enumerate(zip(shard_of, weight, strict=True))])
-        schema = "array<struct<vslot:int,shard:int,bytes:bigint>>"
-        df = self.spark.range(1).select(F.inline(F.from_json(F.lit(rows), schema))).withColumn("version", F.lit(self.version))
+        rows = [{"vslot": k, "shard": s, "bytes": w} for k, (s, w) in enumerate(zip(shard_of, weight, strict=True))]
+        df = literal_rows(self.spark, rows, "vslot:int,shard:int,bytes:bigint").withColumn("version", F.lit(self.version))
         df.coalesce(1).write.mode("append").parquet(self.path)
         return self.version
 
