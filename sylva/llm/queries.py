@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, sharding, tokens, toxicity, warc
+from . import decontaminate, dedup, langid, mixing, quality, sharding, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
     "op2_warc": warc.op2,
+    "op3_near_duplicates": dedup.op3,
     "op4_quality": quality.op4,
     "op5_language": langid.op5,
     "op6_tokens": tokens.op6,
     "op7_mixing": mixing.op7,
     "op8_toxicity": toxicity.op8,
+    "op10_decontamination": decontaminate.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
