@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, ready, slices
+from .common import as_bytes, ready, slices
 
 K1, B = 1.2, 0.75
 PASSAGE, STEP = 128, 64
@@ -203,7 +203,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that give no test item away. All columns stay; rows without an identifier are judged as any other."""
     ready(docs.sparkSession)
     out = docs

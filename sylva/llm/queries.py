@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dedup, langid, mixing, quality, sharding, tokens, toxicity, warc
+from . import decontaminate, dedup, langid, mixing, passages, quality, sharding, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tokens": tokens.op6,
     "op7_mixing": mixing.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_passages": passages.op9,
     "op10_decontamination": decontaminate.op10,
 }
 
