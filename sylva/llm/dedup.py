@@ -34,8 +34,8 @@ LEAST = 75  # hundredths
 #: Signatures that agree in fewer places than this share are not looked at again: five standard deviations below the least.
 LIKELY = 0.56
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
-#: So many documents with a likely partner, and no more, are sent to all executors to pick their texts.
-BROADCAST_ROWS = 200_000
+#: So many identifiers, and no more, are sent to all executors to pick texts; beyond that texts are joined in a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -318,16 +318,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs that stay: one of each component, and every row without words or identifier. All columns stay."""
+    """The rows of docs that stay: one of each component, and every row without words or identifier. All columns stay.
+
+    Texts are not shuffled while the identifiers that go are few enough to be sent to all executors.
+    """
     found = scratch.table(near_duplicates(docs, scratch), "found")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any")).where("n > 1 and any").select("doc_id")
-    repeated = scratch.table(repeated, "repeated")
-    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    rest = docs.where(F.col("doc_id").isNull())
+    of = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
+    gone = scratch.table(of.where("n > 1 or not any"), "gone")
+    ids = gone.select("doc_id")
+    out = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+    repeated = gone.where("n > 1 and any").select("doc_id")
     if not repeated.limit(1).count():
-        return docs.join(keep, "doc_id", "left_semi").unionByName(rest).select(*docs.columns)
-    single = docs.join(keep.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
-    return single.unionByName(rest).unionByName(_one_row(docs, found, repeated, scratch)).select(*docs.columns)
+        return out
+    return out.unionByName(_one_row(docs, found, repeated, scratch).select(*docs.columns))
 
 
 def _one_row(docs: DataFrame, found: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
