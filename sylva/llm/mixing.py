@@ -21,8 +21,8 @@ PERIOD = 4096
 BLOCK_BYTES = 64 << 10
 #: Exponent of a source's bytes in its default weight: 1 keeps the sources' own proportions, 0 makes all alike.
 TEMPERATURE = 0.5
-#: Rows of a source that one task sorts, about.
-PIECE_ROWS = 200_000
+#: Rows of a source that one task sorts, about: the first while there are no more than PIECES pieces a source, else the second.
+PIECE_ROWS, PIECES, MOST_ROWS = 2_000, 4096, 200_000
 
 
 def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -91,7 +91,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights: dict[str | None, f
         turns.append({"_mix_source": s, "_mix_turn": seen[s], "_mix_at": slot, "_mix_share": shares[s]})
         seen[s] += 1
     plan = literal_rows(docs.sparkSession, turns, "_mix_source:string,_mix_turn:bigint,_mix_at:bigint,_mix_share:bigint")
-    pieces = 1 + max((n for n, _ in of.values()), default=0) // PIECE_ROWS
+    most = max((n for n, _ in of.values()), default=0)
+    pieces = 1 + max(min(most // PIECE_ROWS, PIECES), most // MOST_ROWS)
     tie = F.xxhash64(*[F.col(c) for c in carry])
     rows = rows.withColumn("_mix_piece", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(pieces)))
     rows = number_within(rows, "_mix_source", "_mix_piece", [F.xxhash64("doc_id"), F.col("doc_id"), tie], "_mix_row", "_mix_size", "_mix_before")
