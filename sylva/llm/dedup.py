@@ -251,11 +251,11 @@ def components(links: DataFrame, scratch: Scratch, name: str = "stars", rounds:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, digest, component_id and kept for each row of docs (doc_id, text).
+    """doc_id, n_shingles, digest, component_id, kept and component for each row of docs (doc_id, text).
 
     Rows without words have no shingles and stand alone. A null doc_id stands alone too: component_id is null and the row is
     kept. Repeated rows have one component. kept is doc_id = component_id, so rows that repeat a kept identifier are all kept;
-    one_of_each() tells them apart.
+    one_of_each() tells them apart by component, a number of this run alone (null without shingles or identifier).
     """
     signed = scratch.table(docs.select("doc_id", "text").mapInArrow(_sign, docs.select("doc_id").schema.add("n_shingles", "long").add("digest", "binary").add("bands", ArrayType(LongType()))), "signed")
     of = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     comps = link_components(docs, reps, scratch)
     named = reps.select("node", "digest", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_digest = named.join(least, "comp").select("digest", F.col("component_id").alias("_component"))
+    by_digest = named.join(least, "comp").select("digest", F.col("comp").alias("component"), F.col("component_id").alias("_component"))
     rows = signed.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))).drop("_component")
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -345,8 +345,8 @@ def _one_row(docs: DataFrame, found: DataFrame, repeated: DataFrame, scratch: Sc
 
     marks = rows.select("_row", "text").mapInArrow(look, schema).join(rows.select("_row", "doc_id"), "_row")
     # the component of a row's own set, whichever identifier names it
-    own = found.where("digest is not null").select("doc_id", "digest", "component_id").distinct()
+    own = found.where("digest is not null").select("doc_id", "digest", "component_id", "component").distinct()
     marks = marks.join(own, ["doc_id", "digest"], "left")
-    stay = marks.where("digest is null").select("_row").union(marks.where("component_id = doc_id").groupBy("component_id").agg(F.min("_row").alias("_row")).select("_row"))
+    stay = marks.where("digest is null").select("_row").union(marks.where("component_id = doc_id").groupBy("component").agg(F.min("_row").alias("_row")).select("_row"))
     return rows.join(stay, "_row", "left_semi").drop("_row")
 
