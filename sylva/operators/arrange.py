@@ -1,15 +1,21 @@
-"""Sort, head and tail: rearranging or cutting the matched elements of each context instance."""
+"""Sort, head and tail: rearranging or cutting the matched elements of each context instance.
+
+All of it is a handful of windows within documents, on one shuffle. Which rows are contexts, elements and keys is told by their
+label paths, or by a join of matches where predicates take part. The elements of a context are laid end to end from where its
+content began; no other node changes its position, so nothing has to be looked up again.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.model import ATTRIBUTE, COLUMNS, ELEMENT, TEXT, SpecError
-from sylva.plans.match import fixed, match, within
-from sylva.plans.xpath import parse
+from sylva.plans.match import fixed, match, on_path, plain, within
+from sylva.plans.xpath import Path, parse
 
 MISSING_INT = 2147483647
 
@@ -50,100 +56,125 @@ def renumber(rows: DataFrame, order: list[Column]) -> DataFrame:
     return siblings(out)
 
 
-def _contexts(nodes: DataFrame, context: str, strict: bool) -> tuple[DataFrame | None, bool]:
-    path = parse(context, strict)
-    if path.is_document:
-        return None, True
-    return match(nodes, path), all(fixed(s) for s in path.alternatives) and len(path.alternatives) == 1
+def _outermost(rows: DataFrame, mark: str) -> DataFrame:
+    """mark stays only where no marked row holds the row."""
+    before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.max(F.when(F.col(mark).isNotNull(), F.col("last"))).over(before), F.lit(-1)) >= F.col("pre")
+    return rows.withColumn(mark, F.when(~held, F.col(mark)))
 
 
-def elements(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
-    """The outermost matched elements of each context instance: node columns, ctx_pre, ctx_last and elem_ix.
+def _mark(rows: DataFrame, found: DataFrame, mark: str) -> DataFrame:
+    """rows with a column from found (doc_id, pre, mark)."""
+    return rows.join(found.select("doc_id", "pre", mark).dropDuplicates(["doc_id", "pre"]), ["doc_id", "pre"], "left")
 
-    A node that several element paths match belongs to the first of them. The document is a context with ctx_pre 0.
-    """
-    contexts, disjoint = _contexts(nodes, context, strict)
-    rows = None
-    for k, e in enumerate(elems):
-        path = parse(e.path, strict)
-        found = match(nodes, path, contexts, parse(context, strict) if contexts is not None else None)
-        if contexts is None:
-            found = found.withColumn("ctx_pre", F.lit(0)).withColumn("ctx_last", F.lit(MISSING_INT))
-        found = found.where(F.col("kind") == ELEMENT).select(*COLUMNS, "ctx_pre", "ctx_last", F.lit(k).alias("elem_ix"))
-        rows = found if rows is None else rows.unionByName(found)
-    if rows is None:
-        raise SpecError("an element path is needed")
-    if len(elems) > 1:
-        first = Window.partitionBy("doc_id", "ctx_pre", "pre").orderBy("elem_ix")
-        rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    if len(elems) == 1 and all(fixed(s) for s in parse(elems[0].path, strict).alternatives):
-        return rows
-    before = Window.partitionBy("doc_id", "ctx_pre").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_m", F.max("last").over(before)).where("_m is null or _m < pre").drop("_m")
 
+def _simple(path: Path) -> bool:
+    return len(path.alternatives) == 1 and plain(path.steps)
 
-def key_columns(nodes: DataFrame, found: DataFrame, elems: list[Elem], strict: bool = True) -> tuple[DataFrame, list[Column]]:
-    """found with two columns for each key position, and the order they stand for.
 
-    A key is the integers that typed text gives, then the concatenated text and attribute values within the key's matches.
-    Elements without integer come after those with one, and without text before those with text.
+def elements(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
+    """All rows of nodes with _ctx and _elem, structs of the context instance and of the matched element they stand in.
+
+    Of contexts, and of matched elements, that lie within one another only the outermost count. An element that several
+    paths match belongs to the first. _ctx is null outside contexts and for the context `/`.
+    """
+    if not elems:
+        raise SpecError("an element path is needed")
+    ctx, paths = parse(context, strict), [parse(e.path, strict) for e in elems]
+    upto = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    rows, contexts = nodes, None
+    if not ctx.is_document:
+        element = F.col("kind") == ELEMENT
+        if _simple(ctx):
+            rows = rows.withColumn("_c", F.when(element & on_path(ctx.steps), F.lit(1)))
+        else:
+            contexts = match(nodes, ctx).where(element)
+            rows = _mark(rows, contexts.withColumn("_c", F.lit(1)), "_c")
+        if not all(fixed(s) for s in ctx.alternatives) or len(ctx.alternatives) > 1:
+            rows = _outermost(rows, "_c")
+        rows = rows.withColumn("_ctx", F.last(F.when(F.col("_c").isNotNull(), F.struct("pre", "last", "path", "depth")), ignorenulls=True).over(upto))
+        rows = rows.withColumn("_ctx", F.when(F.col("_ctx.last") >= F.col("pre"), F.col("_ctx"))).drop("_c")
+    else:
+        rows = rows.withColumn("_ctx", F.lit(None).cast("struct<pre:int,last:int,path:string,depth:int>"))
+    ix = F.lit(None).cast("int")
+    for k in reversed(range(len(paths))):
+        if _simple(ctx) and _simple(paths[k]):
+            ix = F.when((F.col("kind") == ELEMENT) & on_path(ctx.steps + paths[k].steps), F.lit(k)).otherwise(ix)
+        else:
+            if not ctx.is_document and contexts is None:
+                contexts = match(nodes, ctx).where(F.col("kind") == ELEMENT)
+            found = match(nodes, paths[k], contexts, ctx).where(F.col("kind") == ELEMENT)
+            rows = _mark(rows, found.withColumn(f"_m{k}", F.lit(k)), f"_m{k}")
+            ix = F.coalesce(F.col(f"_m{k}"), ix)
+    inside = F.lit(True) if ctx.is_document else F.col("_ctx").isNotNull() & (F.col("pre") > F.col("_ctx.pre"))
+    rows = rows.withColumn("_e", F.when(inside, ix)).drop(*[f"_m{k}" for k in range(len(paths))])
+    if len(paths) > 1 or not all(fixed(s) for p in [ctx, *paths] for s in p.alternatives):
+        rows = _outermost(rows, "_e")
+    own = F.struct("pre", "last", "path", "depth", "parent", "tag", F.col("_e").alias("ix"))
+    rows = rows.withColumn("_elem", F.last(F.when(F.col("_e").isNotNull(), own), ignorenulls=True).over(upto))
+    return rows.withColumn("_elem", F.when(F.col("_elem.last") >= F.col("pre"), F.col("_elem"))).drop("_e")
+
+
+def _keyed(nodes: DataFrame, rows: DataFrame, context: str, elems: list[Elem], strict: bool) -> tuple[DataFrame, list[Column]]:
+    """rows with two columns for each key position, alike for all rows of an element, and the order they stand for.
+
+    A key is the integer that typed text gives, then the text and attribute values within the key's matches, one after the
+    other. Elements without integer come after those with one, and without text before those with text.
     """
-    width = max((len(e.keys) for e in elems), default=0)
-    order = []
-    for i in range(width):
-        made = None
+    ctx, order = parse(context, strict), []
+    leaf = F.col("kind").isin(TEXT, ATTRIBUTE)
+    own = Window.partitionBy("doc_id", F.col("_elem.pre"))
+    for i in range(max((len(e.keys) for e in elems), default=0)):
+        tests = []
         for k, e in enumerate(elems):
             if i >= len(e.keys):
                 continue
-            base = found.where(F.col("elem_ix") == k)
-            hits = match(nodes, parse(e.keys[i], strict), base.select(*COLUMNS), None)
-            leaf = hits.where(F.col("kind").isin(TEXT, ATTRIBUTE)).select("doc_id", "ctx_pre", "pre", "value", "t_int")
-            inner = nodes.where(F.col("kind").isin(TEXT, ATTRIBUTE))
-            deep = within(hits.where(F.col("kind") == ELEMENT).select(*COLUMNS, "ctx_pre"), inner, False, carry=["ctx_pre"]).select("doc_id", "ctx_pre", "pre", "value", "t_int")
-            values = leaf.unionByName(deep).dropDuplicates(["doc_id", "ctx_pre", "pre"])
-            text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t_int").isNull(), F.struct("pre", "value")))), lambda x: x["value"]), "")
-            keys = values.groupBy("doc_id", "ctx_pre").agg(F.max_by("t_int", "pre").alias(f"k{i}_int"), text.alias(f"k{i}_str")).withColumnRenamed("ctx_pre", "pre").withColumn("elem_ix", F.lit(k))
-            made = keys if made is None else made.unionByName(keys)
-        found = found.join(made, ["doc_id", "pre", "elem_ix"], "left")
-        order += [F.coalesce(f"k{i}_int", F.lit(MISSING_INT)), F.coalesce(f"k{i}_str", F.lit(""))]
-    return found, order
-
-
-def ranked(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
-    """The matched elements with `rank`, their place within the context instance: by element path, keys, document order."""
-    found, keys = key_columns(nodes, elements(nodes, context, elems, strict), elems, strict)
-    own = Window.partitionBy("doc_id", "ctx_pre").orderBy("elem_ix", *keys, "pre")
-    return found.withColumn("rank", F.row_number().over(own))
+            path, above = parse(e.keys[i], strict), parse(e.path, strict)
+            below = "(?:/.*)?" if path.alternatives[0][-1:] and path.steps[-1].kind == "element" else ""
+            if _simple(ctx) and _simple(above) and _simple(path):
+                tests.append((F.col("_elem.ix") == k) & leaf & on_path(ctx.steps + above.steps + path.steps, below))
+            else:
+                base = rows.where((F.col("_elem.ix") == k) & (F.col("_elem.pre") == F.col("pre"))).select(*COLUMNS)
+                hits = match(nodes, path, base, parse("/", strict))
+                inner = within(hits.where(F.col("kind") == ELEMENT).select(*COLUMNS), nodes.where(leaf), False, carry=[])
+                found = hits.where(leaf).select("doc_id", "pre").union(inner.select("doc_id", "pre"))
+                rows = _mark(rows, found.withColumn(f"_k{i}_{k}", F.lit(True)), f"_k{i}_{k}")
+                tests.append((F.col("_elem.ix") == k) & F.coalesce(f"_k{i}_{k}", F.lit(False)))
+        hit = reduce(lambda a, b: a | b, tests)
+        text = F.collect_list(F.when(hit & F.col("t_int").isNull(), F.struct("pre", "value"))).over(own)
+        rows = rows.withColumn(f"_key{i}_int", F.max_by(F.when(hit, F.col("t_int")), F.when(hit & F.col("t_int").isNotNull(), F.col("pre"))).over(own))
+        rows = rows.withColumn(f"_key{i}_str", F.array_join(F.transform(F.array_sort(text), lambda x: x["value"]), ""))
+        order += [F.coalesce(f"_key{i}_int", F.lit(MISSING_INT)), F.col(f"_key{i}_str")]
+    return rows, order
 
 
 def sort(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
     """The node table with the matched elements of each context instance in order of path, keys and document order.
 
-    Within a context other than the document everything else goes, but for the context's own attributes. With the context `/`
-    it stays; the elements of one parent stand together where the first of them stood.
+    Within a context other than the document everything else goes, but for the context's own attributes, and the elements
+    become children of the context. With the context `/` it stays; the elements of one parent stand together where the first
+    of them stood.
     """
-    return _placed(nodes, context, ranked(nodes, context, elems, strict))
-
-
-def cut(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
-    """The matched elements that head and tail keep, with `rank`: the first n of each path, or the last -n."""
-    found = elements(nodes, context, elems, strict)
-    first, last = Window.partitionBy("doc_id", "ctx_pre", "elem_ix").orderBy("pre"), Window.partitionBy("doc_id", "ctx_pre", "elem_ix").orderBy(F.col("pre").desc())
-    kept = None
-    for k, e in enumerate(elems):
-        rows = found.where(F.col("elem_ix") == k)
-        if e.n == 0:
-            rows = rows.where(F.lit(False)).withColumn("_n", F.lit(0))
-        else:
-            rows = rows.withColumn("_n", F.row_number().over(first if e.n > 0 else last)).where(F.col("_n") <= abs(e.n))
-        kept = rows if kept is None else kept.unionByName(rows)
-    own = Window.partitionBy("doc_id", "ctx_pre").orderBy("elem_ix", "pre")
-    return kept.drop("_n").withColumn("rank", F.row_number().over(own))
+    rows, keys = _keyed(nodes, elements(nodes, context, elems, strict), context, elems, strict)
+    own = Window.partitionBy("doc_id", F.col("_ctx.pre")).orderBy(F.col("_elem").isNull(), F.col("_elem.ix"), *keys, F.col("_elem.pre"))
+    return _placed(rows.withColumn("_rank", F.when(F.col("_elem").isNotNull(), F.dense_rank().over(own))), parse(context, strict).is_document)
 
 
 def head(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
-    """The node table with the first n of each element path in each context instance (a negative n: the last)."""
-    return _placed(nodes, context, cut(nodes, context, elems, strict), elements(nodes, context, elems, strict))
+    """The node table with the first n of each element path in each context instance (a negative n: the last).
+
+    They stand path by path, in document order. What else stands in the context fares as in sort().
+    """
+    rows = elements(nodes, context, elems, strict)
+    some = [F.col("doc_id"), F.col("_ctx.pre"), F.col("_elem.ix")]
+    up, down = Window.partitionBy(*some).orderBy(F.col("_elem.pre")), Window.partitionBy(*some).orderBy(F.col("_elem.pre").desc())
+    kept = F.lit(False)
+    for k, e in enumerate(elems):
+        if e.n:
+            kept = F.when(F.col("_elem.ix") == k, F.dense_rank().over(up if e.n > 0 else down) <= abs(e.n)).otherwise(kept)
+    rows = rows.withColumn("_keep", kept).where(F.col("_elem").isNull() | F.col("_keep"))
+    own = Window.partitionBy("doc_id", F.col("_ctx.pre")).orderBy(F.col("_elem").isNull(), F.col("_elem.ix"), F.col("_elem.pre"))
+    return _placed(rows.withColumn("_rank", F.when(F.col("_elem").isNotNull(), F.dense_rank().over(own))), parse(context, strict).is_document)
 
 
 def tail(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True) -> DataFrame:
@@ -151,26 +182,29 @@ def tail(nodes: DataFrame, context: str, elems: list[Elem], strict: bool = True)
     return head(nodes, context, [Elem(e.path, e.keys, -e.n) for e in elems], strict)
 
 
-def _placed(nodes: DataFrame, context: str, found: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """A node table in which the found elements (with rank) stand in their new order.
-
-    matched: all that the paths match, where not all of it was found; the rest of it goes.
-    """
-    contexts, disjoint = _contexts(nodes, context, False)
-    held = found.select(*COLUMNS, "ctx_last", "rank")
-    if contexts is None:
-        held = held.withColumn("ctx_last", F.min("pre").over(Window.partitionBy("doc_id", "parent")))
-    moved = held.unionByName(within(held, nodes, disjoint, carry=["ctx_last", "rank"]))
-    if contexts is None:
-        every = found if matched is None else matched
-        taken = every.select("doc_id", "pre").unionByName(within(every.select(*COLUMNS), nodes, True, carry=[]).select("doc_id", "pre"))
-        rest = nodes.join(taken, ["doc_id", "pre"], "left_anti")
-    else:
-        # what stands in a context goes, but for the context's own attributes
-        own = contexts.select("doc_id", F.col("pre").alias("parent"))
-        inside = within(contexts.select(*COLUMNS), nodes, disjoint, carry=[])
-        kept = inside.where(F.col("kind") == ATTRIBUTE).join(own, ["doc_id", "parent"], "left_semi").select("doc_id", "pre")
-        gone = inside.select("doc_id", "pre").distinct().join(kept, ["doc_id", "pre"], "left_anti")
-        rest = nodes.join(gone, ["doc_id", "pre"], "left_anti")
-    rows = rest.withColumn("ctx_last", F.col("pre")).withColumn("rank", F.lit(0)).unionByName(moved)
-    return renumber(rows, [F.col("ctx_last"), F.col("rank"), F.col("pre")])
+def _placed(rows: DataFrame, is_document: bool) -> DataFrame:
+    """The node table of rows with _ctx, _elem and _rank."""
+    moved = F.col("_elem").isNotNull()
+    if is_document:
+        spot = F.min("_elem.pre").over(Window.partitionBy("doc_id", F.col("_elem.parent")))
+        spotted = rows.withColumn("_spot", F.when(moved, spot).otherwise(F.col("pre")))
+        return renumber(spotted, [F.col("_spot"), F.coalesce("_rank", F.lit(0)), F.col("pre")])
+    root = moved & (F.col("pre") == F.col("_elem.pre"))
+    own = (F.col("kind") == ATTRIBUTE) & (F.col("parent") == F.col("_ctx.pre"))
+    instance = Window.partitionBy("doc_id", F.col("_ctx.pre"))
+    rows = rows.where(F.col("_ctx").isNull() | moved | own | (F.col("pre") == F.col("_ctx.pre")))
+    # elements lie end to end behind the context's attributes; together they are no longer than what stood there
+    start = F.coalesce(F.max(F.when(own, F.col("pre"))).over(instance), F.col("_ctx.pre")) + 1
+    ahead = instance.orderBy(F.coalesce("_rank", F.lit(0))).rangeBetween(Window.unboundedPreceding, -1)
+    length = F.coalesce(F.sum(F.when(root, F.col("last") - F.col("pre") + 1)).over(ahead), F.lit(0))
+    rows = rows.withColumn("_by", F.when(moved, start + length - F.col("_elem.pre")).otherwise(F.lit(0)).cast("int"))
+    like = Window.partitionBy("doc_id", F.col("_ctx.pre"), root, "tag").orderBy("_rank")
+    path = F.concat(F.col("_ctx.path"), F.lit("/"), F.col("_elem.tag"), F.substring(F.col("path"), F.length("_elem.path") + 1, F.length("path")))
+    up = F.col("_elem.depth") - F.col("_ctx.depth") - 1
+    made = {
+        "pre": F.col("pre") + F.col("_by"), "last": F.col("last") + F.col("_by"),
+        "parent": F.when(root, F.col("_ctx.pre")).when(moved, F.col("parent") + F.col("_by")).otherwise(F.col("parent")),
+        "depth": F.when(moved, F.col("depth") - up).otherwise(F.col("depth")), "path": F.when(moved, path).otherwise(F.col("path")),
+        "sib": F.when(root, F.row_number().over(like)).otherwise(F.col("sib")), "nth": F.when(root, F.col("_rank")).otherwise(F.col("nth")),
+    }
+    return rows.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in COLUMNS])

@@ -103,7 +103,7 @@ def agg_two_contexts(spark: SparkSession, d: str) -> DataFrame:
     return ag.aggregate_report(publish.orders_documents(spark, d), TWO)
 
 
-@query("agg_report_xml", """SELECT r_regionkey AS doc_id, '<xagg><context path="/region"><aggregate aggtype="count" path="nation">' || count(n_nationkey) || '</aggregate><aggregate aggtype="last" path="nation/name">' || coalesce(arg_max(n_name, n_nationkey), '') || '</aggregate></context></xagg>' AS xml FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+@query("agg_report_xml", """SELECT CAST(r_regionkey AS BIGINT) AS doc_id, '<xagg><context path="/region"><aggregate aggtype="count" path="nation">' || count(n_nationkey) || '</aggregate><aggregate aggtype="last" path="nation/name">' || coalesce(arg_max(n_name, n_nationkey), '') || '</aggregate></context></xagg>' AS xml FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
 def agg_report_xml(spark: SparkSession, d: str) -> DataFrame:
     return ag.report_xml(ag.aggregate_report(publish.region_documents(spark, d), [ag.Context("/region", (ag.Agg("count", "text", "nation"), ag.Agg("last", "text", "nation/name")))]))
 
@@ -186,14 +186,14 @@ query("sort_two_keys", _sorted_sql("l_returnflag, q"))(_sorted("@flag", "quantit
 
 
 @query("sort_two_elements", f"""WITH {CUSTOMERS}, r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY b, k) AS n, count(*) OVER (PARTITION BY c_nationkey) AS m FROM c)
-SELECT c_nationkey AS doc_id, '/nation/customer/balance/text()' AS path, CAST(2 + n * 7 AS INTEGER) AS pre, b AS value FROM r
+SELECT CAST(c_nationkey AS BIGINT) AS doc_id, '/nation/customer/balance/text()' AS path, CAST(2 + n * 7 AS INTEGER) AS pre, b AS value FROM r
 UNION ALL SELECT n_nationkey, '/nation/name/text()', CAST(2 + 7 * count(c_custkey) + 2 AS INTEGER), n_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
 def sort_two_elements(spark: SparkSession, d: str) -> DataFrame:
     nodes = ar.sort(publish.customer_documents(spark, d), "/nation", [ar.Elem("customer", ("balance/text()",)), ar.Elem("name")])
     return nodes.where("path in ('/nation/customer/balance/text()', '/nation/name/text()')").select("doc_id", "path", "pre", "value")
 
 
-@query("sort_typed_key", f"WITH {CUSTOMERS}, r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, CAST(regexp_extract(c_name, '^Customer#([0-9]+)$', 1) AS INTEGER), k) AS n FROM c) SELECT c_nationkey AS doc_id, CAST(2 + (n - 1) * 7 + 5 AS INTEGER) AS pre, c_name AS value FROM r")
+@query("sort_typed_key", f"WITH {CUSTOMERS}, r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, CAST(regexp_extract(c_name, '^Customer#([0-9]+)$', 1) AS INTEGER), k) AS n FROM c) SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(2 + (n - 1) * 7 + 5 AS INTEGER) AS pre, c_name AS value FROM r")
 def sort_typed_key(spark: SparkSession, d: str) -> DataFrame:
     nodes = edit.typed(publish.customer_documents(spark, d), "//customer/name:Customer#%i")
     return ar.sort(nodes, "/nation", [ar.Elem("customer", ("@segment", "name/text()"))]).where("path = '/nation/customer/name/text()'").select("doc_id", "pre", "value")
@@ -208,7 +208,7 @@ query("head_negative", f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTIT
 query("tail_n", f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) AS up, count(*) OVER (PARTITION BY l_orderkey) AS m FROM l) SELECT l_orderkey AS doc_id, CAST(3 + (k - 1 - greatest(m - 3, 0)) * 7 + 2 AS INTEGER) AS pre, CAST(l_partkey AS VARCHAR) AS value FROM r WHERE up <= 3")(_cut(ar.tail, n=3))
 
 
-@query("head_default", f"WITH {CUSTOMERS} SELECT c_nationkey AS doc_id, CAST(2 + (k - 1) * 7 + 5 AS INTEGER) AS pre, c_name AS value FROM c WHERE k <= 10")
+@query("head_default", f"WITH {CUSTOMERS} SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(2 + (k - 1) * 7 + 5 AS INTEGER) AS pre, c_name AS value FROM c WHERE k <= 10")
 def head_default(spark: SparkSession, d: str) -> DataFrame:
     return ar.head(publish.customer_documents(spark, d), "/nation", [ar.Elem("customer")]).where("path = '/nation/customer/name/text()'").select("doc_id", "pre", "value")
 
@@ -245,7 +245,7 @@ query("flatten_outer", SUMS + _counts(*ROOT, ("/order/quantity", 2, "ks", "a"),
 query("flatten_recursive", SUMS + _counts(*ROOT, ("/order/quantity", 2, "ks", "a"), ("/order/quantity/text()", 2, "NULL", "a"), ("/order/text()", 1, "NULL", "a")))(_orders(lambda n: _by_path(edit.flatten(n, ["//lineitem", "//price"], recursive=True))))
 
 
-@query("typed_extract", f"WITH {CUSTOMERS} SELECT c_nationkey AS doc_id, CAST(4 + (k - 1) * 7 + 5 AS INTEGER) AS pre, 'Customer#' AS t_prefix, CAST(regexp_extract(c_name, '^Customer#([0-9]+)$', 1) AS INTEGER) AS t_int, '' AS t_suffix FROM c")
+@query("typed_extract", f"WITH {CUSTOMERS} SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(4 + (k - 1) * 7 + 5 AS INTEGER) AS pre, 'Customer#' AS t_prefix, CAST(regexp_extract(c_name, '^Customer#([0-9]+)$', 1) AS INTEGER) AS t_int, '' AS t_suffix FROM c")
 def typed_extract(spark: SparkSession, d: str) -> DataFrame:
     return edit.typed(publish.customer_documents(spark, d), "//customer/name:Customer#%i").where("t_int is not null").select("doc_id", "pre", "t_prefix", "t_int", "t_suffix")
 
