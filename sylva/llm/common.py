@@ -13,12 +13,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.session import ready
+from sylva.session import ready as workers_ready
 
 #: Odd multiplier that combines the hashes of neighbouring words into the hash of a window.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows of an Arrow batch. Spark's own 10,000 whole texts take tens of MB in the JVM and again in each Python worker.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """A session whose Python workers find this package, with small Arrow batches unless the user chose a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+    return workers_ready(spark)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -86,7 +86,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1000):
+    for batch in slices(batches, 200):
         nodes, sets = [], []
         for node, digest, text in zip(batch["node"].to_pylist(), batch["digest"].to_pylist(), as_bytes(batch, "text"), strict=True):
             found = shingles(text)
@@ -96,9 +96,9 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "found"])
 
 
-def blocks(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+def blocks(batches: Iterable[pa.RecordBatch], names: list[str], rows_at_once: int = 2000) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows of sorted batches gathered by their block (band, key, i, j); one block at a time is held."""
-    rows = (r for batch in slices(batches, 2000) for r in batch.to_pylist())
+    rows = (r for batch in slices(batches, rows_at_once) for r in batch.to_pylist())
     for key, group in groupby(rows, lambda r: tuple(r[n] for n in names)):
         yield key, list(group)
 
@@ -212,7 +212,7 @@ def forest(rows: list[dict]) -> list[tuple[int, int]]:
 
 def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: list[tuple[int, int]] = []
-    for _, rows in blocks(batches, PLACE):
+    for _, rows in blocks(batches, PLACE, 200):
         if len(rows) > 1:
             found += forest(rows)
         if len(found) > 5000:
