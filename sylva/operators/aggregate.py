@@ -169,7 +169,7 @@ def aggregate_report(nodes: DataFrame, contexts: list[Context], strict: bool = T
     return reduce(DataFrame.unionByName, out)
 
 
-def report_xml(report: DataFrame, out_tag: str = "xagg", context_tag: str = "context", aggregate_tag: str = "aggregate") -> DataFrame:
+def report_xml(report: DataFrame, out_tag: str = "aggregates", context_tag: str = "context", aggregate_tag: str = "aggregate") -> DataFrame:
     """doc_id and xml: the report of each document as one element with a child for each context instance."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     one = F.concat(F.lit(f'<{aggregate_tag} aggtype="'), F.col("agg_type"), F.lit('" path="'), escape(F.col("agg_path")), F.lit('">'), escape(F.coalesce("value", F.lit(""))), F.lit(f"</{aggregate_tag}>"))

@@ -103,7 +103,7 @@ def agg_two_contexts(spark: SparkSession, d: str) -> DataFrame:
     return ag.aggregate_report(publish.orders_documents(spark, d), TWO)
 
 
-@query("agg_report_xml", """SELECT CAST(r_regionkey AS BIGINT) AS doc_id, '<xagg><context path="/region"><aggregate aggtype="count" path="nation">' || count(n_nationkey) || '</aggregate><aggregate aggtype="last" path="nation/name">' || coalesce(arg_max(n_name, n_nationkey), '') || '</aggregate></context></xagg>' AS xml FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+@query("agg_report_xml", """SELECT CAST(r_regionkey AS BIGINT) AS doc_id, '<aggregates><context path="/region"><aggregate aggtype="count" path="nation">' || count(n_nationkey) || '</aggregate><aggregate aggtype="last" path="nation/name">' || coalesce(arg_max(n_name, n_nationkey), '') || '</aggregate></context></aggregates>' AS xml FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
 def agg_report_xml(spark: SparkSession, d: str) -> DataFrame:
     return ag.report_xml(ag.aggregate_report(publish.region_documents(spark, d), [ag.Context("/region", (ag.Agg("count", "text", "nation"), ag.Agg("last", "text", "nation/name")))]))
 
