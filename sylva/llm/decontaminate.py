@@ -1,6 +1,8 @@
 """Benchmark decontamination by a BM25 inverted index of test items, searched with block-max WAND.
 
-Every document is cut into overlapping passages of words, and every passage is a query. A test item's score is divided by the
+Every document is cut into overlapping passages of words, and every passage is a query. Items are grouped by length, and each
+group has passages of its own size: 128 words every 64 for items of up to 64 words, twice that for up to 128, and so on. So
+a copy of an item stands whole in some passage, wherever it starts and however long it is. A test item's score is divided by the
 score it gives itself, so one threshold holds for all items. The index keeps, for each term, the largest score in all items
 and in each block of items. Where the largest scores of a passage's terms do not add up to the threshold in any block, no item
 can reach it; that is worked out for all passages of a document in one step. The other passages go through block-max WAND,
@@ -13,6 +15,7 @@ of those of its last words that stand in the passage.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, ready, slices
 
 K1, B = 1.2, 0.75
+#: Words of a passage, and from one passage's start to the next, for items of up to PASSAGE - STEP words; doubled for longer ones.
 PASSAGE, STEP = 128, 64
 THRESHOLD = 0.6
 #: Blocks of items that an index has at most, and bytes of text in one index that goes to the executors.
@@ -40,6 +44,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(CUT).split()
 
 
+def length_class(n: int) -> int:
+    """How often PASSAGE and STEP are doubled for an item of n words, so that it fits a passage at any start."""
+    return max(0, (max(1, -(-n // (PASSAGE - STEP))) - 1).bit_length())
+
+
 class Numbers(dict):
     """Term numbers; any other word gets the number after the last."""
 
@@ -52,8 +61,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], total: int | None = None, frequency: dict[bytes, int] | None = None, mean: float | None = None):
         """total, frequency and mean describe all items where these are only a part of them."""
-        held = sorted((i, w) for i, w in ((i, words_of(t)) for i, t in items) if w)
-        self.ids, self.words = [i for i, _ in held], [w for _, w in held]
+        held = sorted((length_class(len(w)), i, w) for i, w in ((i, words_of(t)) for i, t in items) if w)
+        self.ids, self.words = [i for _, i, _ in held], [w for _, _, w in held]
+        #: Length classes, the first item of each and the first after it.
+        own = [c for c, _, _ in held]
+        self.classes = [(c, bisect_left(own, c), bisect_left(own, c + 1)) for c in sorted(set(own))]
         counts = [Counter(w) for w in self.words]
         df = frequency if frequency is not None else Counter(t for c in counts for t in c)
         n, mean = total or len(held), mean or sum(map(len, self.words)) / max(1, len(held))
@@ -74,9 +86,11 @@ class Index:
             for k, x in p:
                 self.block_best[t, k // self.block] = max(x, self.block_best[t, k // self.block])
 
-    def search(self, terms: Iterable[int], least: float) -> list[tuple[int, float]]:
-        """Every item whose score is at least `least`, by block-max WAND over the postings of the distinct terms."""
-        cursors = [[self.postings[t], 0, self.best[t], self.block_best[t].tolist()] for t in terms]
+    def search(self, terms: Iterable[int], least: float, first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """Every item from first to before end whose score is at least `least`, by block-max WAND over the postings of the distinct terms."""
+        end = len(self.ids) if end is None else end
+        cursors = [[p := self.postings[t], bisect_left(p, (first,)), self.best[t], self.block_best[t].tolist(), bisect_left(p, (end,))] for t in terms]
+        cursors = [c for c in cursors if c[1] < c[4]]
         out = []
         least -= 1e-9  # sums of the same numbers differ by their order
         while cursors:
@@ -109,10 +123,10 @@ class Index:
                 moved, to = [c for c in cursors[:pivot] if c[0][c[1]][0] < item], item
             for c in moved:
                 postings, at = c[0], c[1]
-                while at < len(postings) and postings[at][0] < to:
+                while at < c[4] and postings[at][0] < to:
                     at += 1
                 c[1] = at
-            cursors = [c for c in cursors if c[1] < len(c[0])]
+            cursors = [c for c in cursors if c[1] < c[4]]
         return out
 
     def overlap(self, item: int, passage: list[bytes]) -> tuple[float, float]:
@@ -132,25 +146,28 @@ class Index:
         hits = np.flatnonzero(at < none)
         if not len(hits):
             return []
-        # distinct terms of each stretch of STEP words, and the sums of their largest scores in each block of items
-        named = np.unique((hits // STEP) * (none + 1) + at[hits])
-        stretch, terms = np.divmod(named, none + 1)
-        first = np.flatnonzero(np.diff(stretch, prepend=-1))
-        sums = np.zeros((len(words) // STEP + PASSAGE // STEP + 1, BLOCKS), dtype=np.float32)
-        sums[stretch[first]] = np.add.reduceat(self.block_best[terms], first, axis=0)
-        count = max(1, -(-(len(words) - PASSAGE) // STEP) + 1)
-        bound = sum(sums[k : k + count] for k in range(PASSAGE // STEP))
         found: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(bound.max(axis=1) >= least - 1e-4):
-            start = int(k) * STEP
-            passage, own = words[start : start + PASSAGE], at[start : start + PASSAGE]
-            distinct = np.unique(own[own < none])
-            if self.block_best[distinct].sum(axis=0).max() < least - 1e-4:  # stretches had some terms in common
-                continue
-            for item, score in self.search(distinct.tolist(), least):
-                question, answer = self.overlap(item, passage)
-                if question >= overlap and answer >= overlap and score > found.get(item, (0.0,))[0]:
-                    found[item] = (score, question, answer)
+        for grade, low, high in self.classes:
+            size, step = PASSAGE << grade, STEP << grade
+            blocks = slice(low // self.block, (high - 1) // self.block + 1)
+            # distinct terms of each stretch of `step` words, and the sums of their largest scores in each block of items
+            named = np.unique((hits // step) * (none + 1) + at[hits])
+            stretch, terms = np.divmod(named, none + 1)
+            first = np.flatnonzero(np.diff(stretch, prepend=-1))
+            sums = np.zeros((len(words) // step + size // step + 1, blocks.stop - blocks.start), dtype=np.float32)
+            sums[stretch[first]] = np.add.reduceat(self.block_best[terms, blocks], first, axis=0)
+            count = max(1, -(-(len(words) - size) // step) + 1)
+            bound = sum(sums[k : k + count] for k in range(size // step))
+            for k in np.flatnonzero(bound.max(axis=1) >= least - 1e-4):
+                start = int(k) * step
+                passage, own = words[start : start + size], at[start : start + size]
+                distinct = np.unique(own[own < none])
+                if self.block_best[distinct, blocks].sum(axis=0).max() < least - 1e-4:  # stretches had some terms in common
+                    continue
+                for item, score in self.search(distinct.tolist(), least, low, high):
+                    question, answer = self.overlap(item, passage)
+                    if question >= overlap and answer >= overlap and score > found.get(item, (0.0,))[0]:
+                        found[item] = (score, question, answer)
         return [(self.ids[i], *x) for i, x in sorted(found.items())]
 
 

@@ -394,6 +394,19 @@ def test_several_indexes_give_the_same(spark, tables, monkeypatch):
     assert [(d, i) for d, i, _ in once] == [(k, k) for k in range(0, 40, 3)]
 
 
+@pytest.mark.parametrize("length", [15, 64, 65, 120, 128, 129, 200, 500])
+def test_verbatim_items_are_found_at_every_offset(length):
+    rng = random.Random(length)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, make(n).encode()) for k, n in enumerate([length, 20, 60, 110, 300, 900])]
+    index = decontaminate.Index(items)
+    before, after = make(1100).split(), make(400)
+    for offset in [*range(130), *range(130, 1100, 37)]:
+        found = index.leaks(" ".join([*before[:offset], items[0][1].decode(), after]).encode())
+        assert [(i, q, a) for i, _, q, a in found] == [(0, 1.0, 1.0)] and found[0][1] > 0.999
+    assert {i for i, *_ in index.leaks(b" ".join(t for _, t in items))} == set(range(6))
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 
