@@ -6,7 +6,8 @@
    so a seed that a third of all documents hold gives as many rows as it has occurrences, never pairs among them.
 3. The matches of a document with an anchor are chained: positions ascend in both, gaps cost, and a Fenwick tree over the
    document's positions answers which earlier chain is best to go on from.
-4. Chains are aligned word by word: between seeds, across edits, and outwards at both ends.
+4. Chains are aligned word by word: between seeds, across edits, and outwards at both ends. A chain that is not alike enough
+   as a whole, as where it runs over unrelated words between two passages, is split there and each piece judged by itself.
 5. A document's aligned stretches are merged where they touch, whichever anchors they came from; merged passages of at least
    fifty words are the result.
 """
@@ -188,8 +189,12 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, pos: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Start and end in a, start and end in b, and matching words of the passage around a chain of seeds."""
+def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, pos: np.ndarray, known: dict[tuple[int, int], int] | None = None) -> tuple[int, int, int, int, int]:
+    """Start and end in a, start and end in b, and matching words of the passage around a chain of seeds.
+
+    known keeps the matching words before each seed that is reached over a gap, for further calls on parts of the chain.
+    """
+    known = {} if known is None else known
     left, more = reach(a[: at[0]][::-1], b[: pos[0]][::-1])
     a0, b0, same = int(at[0]) - left, int(pos[0]) - left, more
     end_a, end_b = int(at[0]), int(pos[0])
@@ -202,19 +207,44 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, pos: np.ndarray) -> tupl
                 end_a, end_b = max(end_a, x + K - fresh), max(end_b, y + K - fresh)
             same += fresh
         else:
-            same += common(a[end_a:x], b[end_b:y]) + K
+            if x > end_a and y > end_b and (x, y) not in known:
+                known[x, y] = common(a[end_a:x], b[end_b:y])
+            same += (known[x, y] if x > end_a and y > end_b else 0) + K
         end_a, end_b = x + K, y + K
     right, more = reach(a[end_a:], b[end_b:])
     return a0, end_a + right, b0, end_b + right, same + more
 
 
+def alike(a: np.ndarray, b: np.ndarray, at: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """align() of a chain if it is alike enough, else of its pieces that are: a chain that is not is split at the gap that
+    lacks the most matching words, and so on."""
+    known: dict[tuple[int, int], int] = {}
+    out, waiting = [], [(0, len(at))]
+    lacking = None
+    while waiting:
+        low, high = waiting.pop()
+        a0, a1, b0, b1, same = found = align(a, b, at[low:high], pos[low:high], known)
+        if same >= IDENTITY * max(a1 - a0, b1 - b0):
+            if min(a1 - a0, b1 - b0) >= STRETCH:
+                out.append(found)
+            continue
+        if lacking is None:
+            gaps = np.column_stack([np.diff(at), np.diff(pos)]) - K
+            met = np.array([known.get((x, y), 0) for x, y in zip(at[1:].tolist(), pos[1:].tolist(), strict=True)], dtype=np.int64)
+            # seeds that overlap lack the words by which one side goes on further than the other
+            lacking = IDENTITY * (gaps.max(axis=1, initial=0) - np.minimum(gaps.min(axis=1, initial=0), 0)) - met
+        if high - low > 1 and lacking[low : high - 1].max() > 0:
+            cut = low + 1 + int(np.argmax(lacking[low : high - 1]))
+            waiting += [(cut, high), (low, cut)]
+    return out
+
+
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2000):
         rows = []
         for r in batch.to_pylist():
             a, b = np.frombuffer(r["a_words"], dtype="<u4"), np.frombuffer(r["b_words"], dtype="<u4")
-            a0, a1, b0, b1, same = align(a, b, np.array(r["at"]) - r["a_from"], np.array(r["pos"]) - r["b_from"])
-            if min(a1 - a0, b1 - b0) >= STRETCH and same >= IDENTITY * max(a1 - a0, b1 - b0):
+            for a0, a1, b0, b1, same in alike(a, b, np.array(r["at"]) - r["a_from"], np.array(r["pos"]) - r["b_from"]):
                 rows.append((r["doc"], b0 + r["b_from"], b1 + r["b_from"], same, r["anchor"], a0 + r["a_from"], a1 + r["a_from"]))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=STRETCHES)

@@ -362,6 +362,38 @@ def test_all_long_repeats_are_found(spark):
     assert want <= {r["doc_id"] for r in QUERIES["op9_passages"](spark, SF).collect()}
 
 
+def found_in(a, b):
+    """Stretches (start in a, end in a, start in b, end in b) that two texts share."""
+    places, at, pos = {}, [], []
+    wa, wb = a.encode().split(), b.encode().split()
+    for h, k in zip(*passages.seeds_of(wa), strict=True):
+        places.setdefault(h, k)
+    for h, k in zip(*passages.seeds_of(wb), strict=True):
+        if h in places:
+            at.append(places[h])
+            pos.append(k)
+    number = {w: k for k, w in enumerate(sorted({*wa, *wb}))}
+    na, nb = (np.array([number[w] for w in x], dtype=np.uint32) for x in (wa, wb))
+    at, pos = np.array(at, dtype=np.int64), np.array(pos, dtype=np.int64)
+    return sorted(f[:4] for path in passages.chain(at, pos) for f in passages.alike(na, nb, at[path], pos[path])) if len(at) else []
+
+
+@pytest.mark.parametrize("length", [60, 100, 200])
+@pytest.mark.parametrize("times", [0.5, 1, 1.5, 2, 3])
+def test_two_passages_with_a_gap_are_both_found(length, times):
+    rng = random.Random(length)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    gap = int(length * times)
+    for other in (gap, 0, gap // 2):
+        for _ in range(20):
+            one, two = make(length), make(length)
+            a, b = make(30) + one + make(gap) + two + make(30), make(70) + one + make(other) + two + make(10)
+            covered = np.zeros(len(b), dtype=bool)
+            for _, _, b0, b1 in found_in(" ".join(a), " ".join(b)):
+                covered[b0:b1] = True
+            assert covered[70 : 70 + length].all() and covered[70 + length + other : 70 + 2 * length + other].all()
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------
 
 
