@@ -32,9 +32,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: the columns of op1."""
-    rows = docs.select("doc_id", sharding.size_of(F.col("text")).alias("size"), sharding.crc_of(F.col("text")).alias("text_crc32"))
-    return sharding.digest(sharding.assign_shards(spark, rows, SHARDS))
+    """Where each document goes: the columns of op1. Within a shard documents stand in the order of docs' files and rows."""
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    piece = F.concat_ws("/", file, F.lpad(F.floor(row / sharding.SLOT_ROWS).cast("string"), 12, "0"))
+    rows = docs.select("doc_id", sharding.size_of(F.col("text")).alias("size"), sharding.crc_of(F.col("text")).alias("text_crc32"), piece.alias("file_piece"), row.alias("file_row"))
+    return sharding.digest(sharding.assign_shards(spark, rows, SHARDS, order=("file_piece", "file_row")))
 
 
 STAGES = [("language", known_language), ("near_duplicates", one_of_each), ("decontamination", without_leaks), ("mixing", mixed), ("sharding", shard)]

@@ -114,13 +114,14 @@ class SlotMap:
         return self.spark.read.schema(schema).parquet(self.path).where(F.col("version") == (version or self.version))
 
 
-def assign_shards(spark: SparkSession, records: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+def assign_shards(spark: SparkSession, records: DataFrame, shards: int, slots: int = SLOTS, order: tuple[str, str] | None = None) -> DataFrame:
     """Places all records into shards 0 to shards - 1 under the law `bytes`: sizes near equal.
 
     records: doc_id, size, text_crc32; any further columns are carried along. Adds vslot (virtual slot), shard and slot
     (place within the shard, gapless from 0). A null identifier is placed by its text's checksum, so nulls spread as well.
     Rows with equal identifiers share a virtual slot. No rows in, no rows out. Columns of the input named vslot, shard or
-    slot are replaced.
+    slot are replaced. `order` names two columns that places within a shard ascend in: a piece that a task can sort, and the place in
+    it. Without it they ascend in virtual slot and identifier.
     """
     scratch = Scratch(spark, "shards")
     records = records.drop("vslot", "shard", "slot", "_piece")
@@ -136,8 +137,8 @@ def assign_shards(spark: SparkSession, records: DataFrame, shards: int, slots: i
     pieces = 1 + max((r["n"] for r in sums), default=0) // SLOT_ROWS
     placed = base.join(F.broadcast(maps.read().select("vslot", "shard")), "vslot")  # `slots` rows of two numbers
     spread = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces))
-    placed = placed.withColumn("_piece", F.col("vslot").cast("long") * pieces + spread)
-    return number_within(placed, "shard", "_piece", [F.col("doc_id"), F.col("text_crc32"), F.col("size")]).drop("_piece")
+    placed = placed.withColumn("_piece", F.col(order[0]) if order else F.col("vslot").cast("long") * pieces + spread)
+    return number_within(placed, "shard", "_piece", [*([F.col(order[1])] if order else []), F.col("doc_id"), F.col("text_crc32"), F.col("size")]).drop("_piece")
 
 
 def op1(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:

@@ -455,3 +455,21 @@ def test_pipeline(spark):
     for k in range(24):
         own = sorted(r["slot"] for r in rows if r["shard"] == k)
         assert own == list(range(len(own)))
+
+
+def test_shards_follow_the_mixed_order(spark, tables, monkeypatch):
+    rows = [doc(k, f"{k} " * 4000, source=f"s{min(k % 8, 3)}") for k in range(400)]
+    path = tables(documents=rows)
+    monkeypatch.setattr(corpus_pipeline, "SHARDS", 3)
+
+    def places(stages):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        return {r["doc_id"]: (r["shard"], r["slot"]) for r in corpus_pipeline.run(spark, path).collect()}
+
+    stages = corpus_pipeline.STAGES[-2:]
+    with_stage, without = places(stages), places(stages[1:])
+    turn = {r["doc_id"]: (r["mix_slot"], r["mix_offset"]) for r in mixing.mix(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+    assert {k: s for k, (s, _) in with_stage.items()} == {k: s for k, (s, _) in without.items()} and with_stage != without
+    for k in range(3):
+        own = [d for d, (shard, _) in sorted(with_stage.items(), key=lambda x: x[1]) if shard == k]
+        assert own and own == sorted(own, key=turn.get) and [with_stage[d][1] for d in own] == list(range(len(own)))
