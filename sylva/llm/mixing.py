@@ -4,20 +4,30 @@ Documents of a source fill blocks of equal bytes. Block k of a source with weigh
 and is due by ceil(k / w); earliest deadline first fills one block a slot. With weights that add up to one, each block meets
 its window, so after any number of slots every source is less than one block away from its weight.
 
-Weights are whole shares of a period. The schedule repeats from period to period, so one period is worked out on the driver
-and the place of any block follows by arithmetic, however many blocks there are.
+Windows come from the weights as given, as exact fractions, and the driver works out as many slots as the blocks need; the
+plan has a row for each block. Where that is more than PERIOD slots, weights become whole shares of PERIOD slots and the schedule
+repeats: then a source may move away from its weight by up to about one more block in each PERIOD slots (more for sources
+whose weight is below one block in PERIOD, which get one).
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, literal_rows, number_within
 
-PERIOD = 4096
+#: Slots that are worked out at most: at the default block size 256 GB, where all sources last.
+PERIOD = 4 << 20
+#: Blocks, and no more, whose plan is sent to all executors.
+BROADCAST_ROWS = 200_000
 BLOCK_BYTES = 64 << 10
 #: Exponent of a source's bytes in its default weight: 1 keeps the sources' own proportions, 0 makes all alike.
 TEMPERATURE = 0.5
@@ -31,32 +41,55 @@ def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, i
         return {}
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    total, free = sum(weights.values()), period - len(weights)
-    if free < 0:
+    if period < len(weights):
         raise ValueError("the period has fewer slots than there are sources")
-    exact = {s: free * w / total for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(shares.values())]:
+    exact = {s: period * w for s, w in fractions_of(weights).items()}
+    shares = {s: max(1, int(x)) for s, x in exact.items()}
+    over = period - sum(shares.values())
+    for s in sorted(exact, key=lambda s: (shares[s] - exact[s], s))[: max(0, over)]:
         shares[s] += 1
+    while over < 0:  # sources that got their one slot take it from those that are furthest above their weight
+        s = min((s for s in shares if shares[s] > 1), key=lambda s: (exact[s] - shares[s], s))
+        shares[s] -= 1
+        over += 1
     return shares
 
 
-def schedule(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks; ties go by name."""
-    period = sum(shares.values())
-    due = lambda s, k: -(-(k + 1) * period // shares[s])  # noqa: E731  of block k, counted from 0
-    waiting = [(0, s, 0) for s in sorted(shares)]  # by release
-    ready: list[tuple[int, str, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
+def fractions_of(weights: dict[str, float]) -> dict[str, Fraction]:
+    """Exact weights that add up to one."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w / total for s, w in exact.items()}
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = fractions_of(weights)
+    unit = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def schedule(shares: dict[str, int], slots: int | None = None) -> list[str]:
+    """The source of each slot of one period, or of `slots` slots: earliest deadline first among released blocks; ties go by name."""
+    names = sorted(shares)
+    return [names[k] for k in turns(shares, sum(shares.values()) if slots is None else slots)]
+
+
+def turns(shares: dict[str, int], slots: int) -> array:
+    """schedule() as places in the sorted list of names."""
+    period, share = sum(shares.values()), [shares[s] for s in sorted(shares)]
+    waiting = [(0, s, 0) for s in range(len(share))]  # by release
+    ready: list[tuple[int, int, int]] = []
+    out = array("i")
+    for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, k), s, k))
+            heapq.heappush(ready, (-(-(k + 1) * period // share[s]), s, k))  # when block k, counted from 0, is due
         _, s, k = heapq.heappop(ready)
         out.append(s)
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) * period // shares[s], s, k + 1))
+        heapq.heappush(waiting, ((k + 1) * period // share[s], s, k + 1))
     return out
 
 
@@ -69,7 +102,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: dict[str | None, f
     weights: by source, by default each source's bytes to the power `temperature`; sources without one are refused. A null
     source is a source of its own. A document counts its UTF-8 bytes and one more (or `size`), so null and empty texts have a
     place. It belongs to the block that its first byte falls into. Within a source the order is that of a hash of the identifier. The
-    list of sources comes to the driver. docs is read twice, so it should be a table.
+    list of sources comes to the driver, which works out up to `period` slots. docs is read twice, so it should be a table.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1 if size is None else size
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
@@ -83,23 +116,35 @@ def mix(docs: DataFrame, size: Column | None = None, weights: dict[str | None, f
         if missing := sorted(set(of) - set(named)):
             raise ValueError(f"no weight for sources {[x[1:] or None for x in missing]}")
         target = {s: named[s] for s in of}
-    while period < 4 * len(target):
-        period *= 2
-    shares = whole_shares(target, period)
-    turns, seen = [], dict.fromkeys(shares, 0)
-    for slot, s in enumerate(schedule(shares)):
-        turns.append({"_mix_source": s, "_mix_turn": seen[s], "_mix_at": slot, "_mix_share": shares[s]})
-        seen[s] += 1
-    plan = literal_rows(docs.sparkSession, turns, "_mix_source:string,_mix_turn:bigint,_mix_at:bigint,_mix_share:bigint")
+    names, weight = sorted(target), whole_weights(target) if target else {}
+    blocks = {s: -(-of[s][1] // block_bytes) for s in target}
+    needed = max((-(-blocks[s] * sum(weight.values()) // weight[s]) for s in names), default=0)
+    if needed <= period:
+        period = max(1, needed)
+        share = {s: blocks[s] + 1 for s in names}  # no block comes around again
+        taken = np.asarray(turns(weight, needed), dtype=np.int32)
+    else:
+        while period < 4 * len(target):
+            period *= 2
+        share = whole_shares(target, period)
+        taken = np.asarray(turns(share, period), dtype=np.int32)
+    order = np.argsort(taken, kind="stable")  # slots by source
+    counts = np.bincount(taken, minlength=len(names)) if len(names) else np.empty(0, dtype=np.int64)
+    turn = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    source = taken[order]
+    exists = turn < np.array([blocks[s] for s in names], dtype=np.int64)[source] if len(names) else np.empty(0, dtype=bool)
+    spark = docs.sparkSession
+    plan = spark.createDataFrame(pa.table({"_mix_number": source[exists], "_mix_turn": turn[exists], "_mix_at": order[exists]}))
+    plan = F.broadcast(plan) if exists.sum() <= BROADCAST_ROWS else plan
+    shares = literal_rows(spark, [{"_mix_source": s, "_mix_number": k, "_mix_share": share[s]} for k, s in enumerate(names)], "_mix_source:string,_mix_number:int,_mix_share:bigint")
     most = max((n for n, _ in of.values()), default=0)
     pieces = 1 + max(min(most // PIECE_ROWS, PIECES), most // MOST_ROWS)
     tie = F.xxhash64(*[F.col(c) for c in carry])
     rows = rows.withColumn("_mix_piece", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(pieces)))
     rows = number_within(rows, "_mix_source", "_mix_piece", [F.xxhash64("doc_id"), F.col("doc_id"), tie], "_mix_row", "_mix_size", "_mix_before")
     rows = rows.withColumn("mix_block", F.floor(F.col("_mix_before") / block_bytes).cast("long")).withColumn("mix_offset", F.pmod("_mix_before", F.lit(block_bytes)))
-    share = F.broadcast(plan.select("_mix_source", "_mix_share").distinct())  # a row for each source
-    rows = rows.join(share, "_mix_source").withColumn("_mix_turn", F.pmod("mix_block", F.col("_mix_share")))
-    rows = rows.join(F.broadcast(plan.drop("_mix_share")), ["_mix_source", "_mix_turn"])  # `period` rows
+    rows = rows.join(F.broadcast(shares), "_mix_source").withColumn("_mix_turn", F.pmod("mix_block", F.col("_mix_share")))  # a row for each source
+    rows = rows.join(plan, ["_mix_number", "_mix_turn"])  # a row for each block, or `period` rows
     slot = F.floor(F.col("mix_block") / F.col("_mix_share")).cast("long") * period + F.col("_mix_at")
     return rows.withColumn("mix_slot", slot).select(*carry, "mix_block", "mix_slot", "mix_offset")
 

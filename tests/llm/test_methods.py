@@ -304,6 +304,30 @@ def test_deviation_stays_below_one_block(weights):
         assert all(abs(done[x] * 512 - slot * n) < 512 for x, n in shares.items())
 
 
+def test_deviation_from_the_given_weights():
+    weights = {"hot": 0.5} | {f"s{k}": 0.5 / 999 for k in range(999)}
+    assert mixing.whole_shares(weights, 4096)["hot"] == 2048 and min(mixing.whole_shares(weights | {"tiny": 1e-9}, 4096).values()) == 1
+    weights = {f"s{k}": (k + 1) ** 0.5 for k in range(20)} | {"hot": 31.7}
+    total, done = sum(weights.values()), Counter()
+    for slot, s in enumerate(mixing.schedule(mixing.whole_weights(weights), 60_000), 1):
+        done[s] += 1
+        if slot % 7 == 0 or slot < 3000:
+            assert all(abs(done[x] - slot * w / total) < 1 + 1e-9 for x, w in weights.items())
+
+
+@pytest.mark.parametrize("period", [mixing.PERIOD, 64])
+def test_blocks_keep_the_given_weights(spark, tables, period):
+    rows = [doc(k, "x" * 99, source=f"s{k % 5}") for k in range(3000)]
+    docs = spark.read.parquet(f"{tables(documents=rows)}/documents.parquet")
+    weights = {"s0": 0.7, "s1": 0.11, "s2": 0.09, "s3": 0.06, "s4": 0.04}
+    found = mixing.mix(docs, weights=weights, block_bytes=100, period=period).select("source", "mix_slot").collect()
+    assert len(found) == 3000 and len({r["mix_slot"] for r in found}) == 3000
+    first = {s: sorted(r["mix_slot"] for r in found if r["source"] == s) for s in weights}
+    for s, w in weights.items():
+        # within the exact schedule block k stands in its window; rounded to 64 slots it drifts
+        assert period == 64 or all(int(k / w + 1e-9) <= slot < (k + 1) / w + 1 for k, slot in enumerate(first[s]))
+
+
 @needs_data
 def test_mixed_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
