@@ -1,7 +1,7 @@
 """Substring dedup by collinear chaining: fuzzy passages that a document shares with earlier documents.
 
-1. Seeds are windows of eight words, thinned to minimizers: of any sixteen neighbouring windows the one with the smallest
-   hash is a seed, so two documents that share 23 words in a row share a seed.
+1. Seeds are windows of five words, thinned to minimizers: of any eight neighbouring windows the one with the smallest
+   hash is a seed, so two documents that share 12 words in a row share a seed.
 2. Each seed's first document (the smallest identifier) is its anchor. Every other occurrence is joined to the anchor alone,
    so a seed that a third of all documents hold gives as many rows as it has occurrences, never pairs among them.
 3. The matches of a document with an anchor are chained: positions ascend in both, gaps cost, and a Fenwick tree over the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, hash_words, ready, slices, windows
 
-K, WINDOW = 8, 16
+K, WINDOW = 5, 8
 LEAST_WORDS = 50
 #: Words that an aligned stretch has at least before stretches are merged, and the largest gap between merged ones.
 STRETCH, TOUCH = 16, 2

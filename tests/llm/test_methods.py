@@ -418,6 +418,38 @@ def test_two_passages_with_a_gap_are_both_found(length, times):
             assert covered[70 : 70 + length].all() and covered[70 + length + other : 70 + 2 * length + other].all()
 
 
+def covered_by_alignment(a, b, low, high):
+    """Whether brute force, the best local alignment word by word (a match 1, all else -2), covers 80 % of low to high in b."""
+    best, scores, starts = (0, 0, 0), [0] * (len(b) + 1), [0] * (len(b) + 1)
+    for x in a:
+        row, begun = [0], [0]
+        for j, y in enumerate(b):
+            up, left, over = scores[j + 1] - 2, row[j] - 2, scores[j] + (1 if x == y else -2)
+            top = max(0, up, left, over)
+            row.append(top)
+            begun.append(j + 1 if not top else (starts[j] if scores[j] else j) if top == over else starts[j + 1] if top == up else begun[j])
+            best = max(best, (top, begun[-1], j + 1))
+        scores, starts = row, begun
+    return min(best[2], high) - max(best[1], low) >= 0.8 * (high - low)
+
+
+@pytest.mark.parametrize(("length", "rate", "least"), [(60, 0.1, 0.95), (60, 0.15, 0.9), (100, 0.1, 0.97), (100, 0.15, 0.95)])
+def test_edited_passages_are_found(length, rate, least):
+    rng = random.Random(3)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    there = found = 0
+    for _ in range(100):
+        one = make(length)
+        a, b = make(50) + one + make(40), make(70) + [w if rng.random() >= rate else make(1)[0] for w in one] + make(60)
+        if covered_by_alignment(a, b, 70, 70 + length):
+            there += 1
+            covered = np.zeros(len(b), dtype=bool)
+            for _, _, b0, b1 in found_in(" ".join(a), " ".join(b)):
+                covered[b0:b1] = True
+            found += covered[70 : 70 + length].sum() >= 0.8 * length
+    assert there >= 90 and found >= least * there, (found, there)
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------
 
 
