@@ -82,6 +82,33 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+#: Rows of a sift's filter at most (512 bits each, about 30 MB in all as broadcast), and bits for each key below that.
+SIFT_ROWS, SIFT_BITS = 1 << 18, 12
+
+
+def sift(rows: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """rows with a boolean _maybe, which is false only where `key` is none of the n keys in the one column of ids.
+
+    A Bloom filter out of plain expressions: a key sets three bits in one of the eight words of a filter row. It is broadcast
+    and never larger than SIFT_ROWS rows. With more keys than those can tell apart more rows say maybe, nothing else changes:
+    an exact join of the maybes follows. So wide rows that a few keys decide about need no shuffle of all of them.
+    """
+    places = max(1, min(SIFT_ROWS, -(-n * SIFT_BITS // 512)))
+
+    def parts(c: Column) -> tuple[Column, Column, Column]:
+        other = F.xxhash64(c, F.lit(1))
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(other, k).bitwiseAND(63).cast("int"))
+        return F.pmod(F.xxhash64(c), F.lit(places)).cast("int"), other.bitwiseAND(7).cast("int"), bit(3).bitwiseOR(bit(9)).bitwiseOR(bit(15))
+
+    place, word, mask = parts(F.col(ids.columns[0]))
+    held = ids.where(F.col(ids.columns[0]).isNotNull()).select(place.alias("_place"), word.alias("_word"), mask.alias("_mask"))
+    words = F.array(*[F.coalesce(F.bit_or(F.when(F.col("_word") == k, F.col("_mask"))), F.lit(0).cast("long")) for k in range(8)])
+    held = held.groupBy("_place").agg(words.alias("_words"))
+    place, word, mask = parts(F.col(key))
+    hit = F.coalesce(F.element_at("_words", word + 1).bitwiseAND(mask) == mask, F.lit(False)) & F.col(key).isNotNull()
+    return rows.join(F.broadcast(held), place == F.col("_place"), "left").withColumn("_maybe", hit).select(*rows.columns, "_maybe")
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table out of a literal; no Python worker and no RDD take part."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

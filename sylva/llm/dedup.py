@@ -4,7 +4,8 @@
 2. Documents with equal sets fall together at once; one of each stands for the rest.
 3. Four minima make a band; documents that share a band meet in a bucket. Buckets of more than a block's worth of members or
    shingles are dealt over blocks, and blocks meet in pairs, so no task sees a whole large bucket. Blocks meet themselves
-   first; pairs of blocks only where documents that are still apart share a bucket.
+   first. Where documents of a large bucket are still apart, those outside its largest component are dealt over blocks of
+   their own, which meet each other and the blocks of the rest; the rest need not meet again.
 4. Within a block signatures are compared, each pair only in the first band it shares. Documents that have a likely partner go
    on with their full sets; exact similarities are worked out and a spanning forest of the links leaves the block.
 5. Links join into components; the smallest identifier names each.
@@ -21,11 +22,11 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Scratch, as_bytes, hash_words, ready, slices, windows
+from .common import Scratch, as_bytes, hash_words, sift, slices, windows
 
 WORDS = 5
 MINIMA, BAND = 128, 4
@@ -34,8 +35,6 @@ LEAST = 75  # hundredths
 #: Signatures that agree in fewer places than this share are not looked at again: five standard deviations below the least.
 LIKELY = 0.56
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
-#: So many identifiers, and no more, are sent to all executors to pick texts; beyond that texts are joined in a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -275,25 +274,40 @@ def link_components(docs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataF
     """node and comp of every node that has a link."""
     exploded = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = exploded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    parts = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / 2))).cast("int")
+    parts = _parts(F.col("members"), F.col("shingles"))
     members = exploded.join(buckets.select("band", "key", parts.alias("parts")), ["band", "key"])
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int")
-    members = scratch.table(members.select("band", "key", "node", "parts", block.alias("block")), "members")
+    members = scratch.table(members.select("band", "key", "node", "n", "parts", _deal("parts").alias("block")), "members")
     first = members.select("band", "key", F.col("block").alias("i"), F.col("block").alias("j"), "block", "node", F.col("node").alias("comp"))
     links = scratch.table(_compare(docs, reps, first, scratch, "own"), "links-own")
     comps = components(links, scratch, "stars-own")
     if not members.where("parts > 1").limit(1).count():
         return comps
-    # large buckets: blocks meet in pairs where a bucket still has documents apart
+    # large buckets that still hold documents apart: those outside the largest component meet each other and all the rest
     large = members.where("parts > 1").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = large.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
+    sizes = large.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    total = sizes.groupBy("band", "key").agg(F.max(F.struct("members", "comp", "shingles")).alias("top"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"))
+    apart = total.where("members > top.members")
+    few = _parts(F.col("members") - F.col("top.members"), F.col("shingles") - F.col("top.shingles"))
+    apart = apart.select("band", "key", F.col("top.comp").alias("main"), few.alias("few"), _parts(F.col("top.members"), F.col("top.shingles")).alias("many"))
     large = large.join(apart, ["band", "key"])
-    pairs = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> block")
+    minor = F.col("comp") != F.col("main")
+    block = F.when(minor, _deal("few")).otherwise(F.col("few") + _deal("many"))
+    meets = F.sequence(F.lit(0), F.when(minor, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    pairs = large.select("band", "key", block.alias("block"), "node", "comp", F.explode(meets).alias("other"))
     pairs = pairs.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
     more = scratch.table(_compare(docs, reps, pairs, scratch, "pairs"), "links-pairs")
     return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), scratch, "stars-pairs")
 
 
+def _parts(members: Column, shingles: Column) -> Column:
+    """Blocks that so many members with so many shingles are dealt over."""
+    return F.greatest(F.ceil(members / BLOCK_ROWS), F.least(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(members / 2))).cast("int")
+
+
+def _deal(parts: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit("block")), F.col(parts)).cast("int")
+
+
 def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition(*[F.col(c) for c in PLACE]).sortWithinPartitions(*PLACE, "node")
 
@@ -303,9 +317,10 @@ def _compare(docs: DataFrame, reps: DataFrame, rows: DataFrame, scratch: Scratch
     schema = rows.select(*LIVE.names).schema
     signed = _by_block(rows.join(reps.select("node", "bands"), "node").select(*LIVE.names, "bands"))
     live = scratch.table(signed.mapInArrow(_likely, schema), f"live-{name}")
-    nodes = live.select("node").distinct().join(reps.select("node", "rep", "digest"), "node")
-    nodes = F.broadcast(nodes) if live.select("node").distinct().count() <= BROADCAST_ROWS else nodes
-    texts = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("rep")).select("node", "digest", "text")
+    nodes = scratch.table(live.select("node").distinct().join(reps.select("node", "rep", "digest"), "node"), f"nodes-{name}")
+    # few texts pass the sift, and only those are shuffled
+    texts = sift(docs.select("doc_id", "text"), "doc_id", nodes.select("rep"), nodes.count()).where("_maybe")
+    texts = texts.join(nodes.hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "digest", "text")
     sets = texts.mapInArrow(_sets, "node long, found binary").dropDuplicates(["node"])
     full = _by_block(live.join(sets, "node").select(*LIVE.names, "found"))
     return full.mapInArrow(_links, "a long, b long")
@@ -320,13 +335,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that stay: one of each component, and every row without words or identifier. All columns stay.
 
-    Texts are not shuffled while the identifiers that go are few enough to be sent to all executors.
+    Only texts that the sift takes for ones that may go are shuffled, to an exact join.
     """
     found = scratch.table(near_duplicates(docs, scratch), "found")
     of = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
     gone = scratch.table(of.where("n > 1 or not any"), "gone")
-    ids = gone.select("doc_id")
-    out = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+    marked = sift(docs, "doc_id", gone.select("doc_id"), gone.count())
+    out = marked.where("_maybe").join(gone.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    out = marked.where("not _maybe").select(*docs.columns).unionByName(out)
     repeated = gone.where("n > 1 and any").select("doc_id")
     if not repeated.limit(1).count():
         return out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sylva.llm import decontaminate, dedup, langid, mixing, passages, quality, sharding, tokens, toxicity, warc
+from sylva.llm import common, decontaminate, dedup, langid, mixing, passages, quality, sharding, tokens, toxicity, warc
 from sylva.llm.common import Scratch
 from sylva.llm.queries import QUERIES
 
@@ -107,6 +107,36 @@ def test_near_duplicates_of_edited_copies(spark, tables, monkeypatch, block):
     assert [rows[k]["kept"] for k in range(len(texts))] == [c == k for k, c in enumerate(comp)]
 
 
+@pytest.mark.parametrize("places", [1 << 18, 1])
+def test_sift_loses_nothing(spark, monkeypatch, places):
+    monkeypatch.setattr(common, "SIFT_ROWS", places)
+    rows = spark.range(4000).selectExpr("IF(id = 9, NULL, id) AS doc_id", "'x' AS text")
+    ids = spark.range(0, 4000, 40).selectExpr("IF(id = 0, NULL, id) AS rep")
+    found = common.sift(rows, "doc_id", ids, 100).collect()
+    maybe = {r["doc_id"] for r in found if r["_maybe"]}
+    assert len(found) == 4000 and set(range(40, 4000, 40)) <= maybe and None not in maybe
+    assert places == 1 or len(maybe) < 200
+
+
+def test_near_duplicates_with_a_saturated_sift(spark, tables, monkeypatch):
+    monkeypatch.setattr(common, "SIFT_ROWS", 1)
+    texts = copies(random.Random(8), 4, 200)
+    comp, _ = exact(texts)
+    path = tables(documents=[doc(k, t) for k, t in enumerate(texts)])
+    rows = {r["doc_id"]: r["component_id"] for r in QUERIES["op3_near_duplicates"](spark, path).collect()}
+    assert [rows[k] for k in range(len(texts))] == comp
+    left = corpus_pipeline.one_of_each(spark, spark.read.parquet(f"{path}/documents.parquet"), "").collect()
+    assert {r["doc_id"] for r in left} == set(comp)
+
+
+def test_plans_do_not_depend_on_size(spark, tables):
+    """Texts meet identifiers behind a sift in a merge join, for three documents as for any number."""
+    path = tables(documents=[doc(1, "a b c d e f"), doc(2, "a b c d e f"), doc(3, "x")])
+    kept = dedup.one_of_each(spark.read.parquet(f"{path}/documents.parquet"), Scratch(spark, "t"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=merge" in plan
+
+
 @needs_data
 def test_near_duplicates_of_all_documents(spark):
     texts = texts_of(spark)
