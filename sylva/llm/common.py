@@ -19,15 +19,15 @@ from sylva.session import ready as workers_ready
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Rows of an Arrow batch. Spark's own 10,000 whole texts take tens of MB in the JVM and again in each Python worker.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch. Spark's own 64 MB of whole texts stand in the JVM and again in each Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """A session whose Python workers find this package, with small Arrow batches unless the user chose a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    """A session whose Python workers find this package, with small Arrow batches unless the user set a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
     return workers_ready(spark)
 
 
@@ -109,6 +109,30 @@ def sift(rows: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(held), place == F.col("_place"), "left").withColumn("_maybe", hit).select(*rows.columns, "_maybe")
 
 
+#: Keys that are dealt over several tasks, at most, and rows of a key that one task takes at least.
+HOT_KEYS, HOT_ROWS = 50_000, 20_000
+
+
+def hot_keys(counts: DataFrame, n: str) -> DataFrame:
+    """Of counts (keys and n) the keys with so many rows that they are to be dealt, with _parts, how many tasks share them.
+
+    A key's share of all rows makes it hot, so there are no more than HOT_KEYS, whatever the input holds.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    return counts.where(F.col(n) > most).withColumn("_parts", F.ceil(F.col(n) / most).cast("int")).drop(n)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by keys; rows of hot keys (hot_keys()) are dealt over tasks by a hash of left's columns `by`, and
+    right's rows go to each of those. right has few rows a key."""
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_deal", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    b = right.join(hot, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b.hint("merge"), [*keys, "_deal"], how).drop("_deal")
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table out of a literal; no Python worker and no RDD take part."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

@@ -480,6 +480,69 @@ def test_edited_passages_are_found(length, rate, least):
     assert there >= 90 and found >= least * there, (found, there)
 
 
+def plain_passages(rows, least=50):
+    """(doc_id, start, end) of all stretches of `least` words and more that an earlier text holds word for word."""
+    out, seen = set(), set()
+    for k, t in sorted(rows):
+        w = t.encode().lower().split()
+        runs = [tuple(w[j : j + least]) for j in range(len(w) - least + 1)]
+        start = None
+        for j, r in enumerate([*runs, None]):
+            if r in seen and start is None:
+                start = j
+            elif r not in seen and start is not None:
+                out.add((k, start, j + least - 1))
+                start = None
+        seen.update(runs)
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_spans_equal_brute_force(spark, tables, monkeypatch, hot):
+    """Exact repeats among random words, in all sizes, one in very many documents; found to the word and nothing else."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    make = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    pool = [make(n) for n in (30, 45, 49, 50, 51, 60, 90, 130, 300, 900)]
+    period = (make(7) * 400)[:2500]
+    rows = []
+    for k in range(90):
+        w = make(rng.randrange(40)) + ["be"] * (rng.choice([7, 20, 49, 50, 57, 58, 130]) if k % 4 == 1 else 0) + make(20)
+        for one in rng.sample(pool, rng.randrange(3)) + ([pool[6]] if k % 3 == 0 else []) + ([period[: rng.randrange(60, 2500)]] if k % 30 == 7 else []):
+            w += one + make(rng.randrange(20, 60))
+        rows.append((k * 3 - 7, " ".join(w)))
+    want = plain_passages(rows)
+    rng.shuffle(rows)
+    found = QUERIES["op9_passages"](spark, tables(documents=[doc(k, t) for k, t in rows])).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in found} == want
+    assert all(r["n_words"] == r["end"] - r["start"] and r["source_ids"] and max(r["source_ids"]) < r["doc_id"] for r in found)
+
+
+def test_rows_that_share_an_identifier(spark, tables):
+    rng = random.Random(5)
+    make = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    shared = make(80)
+    rows = [doc(1, f"{make(20)} {shared}"), doc(9, f"{make(300)}"), doc(9, f"{make(33)} {shared} {make(9)}"), doc(9, "short"), doc(9, None), doc(None, shared), doc(4, shared), doc(4, shared)]
+    seen = set()
+    for turn in (rows, rows[::-1]):
+        docs = spark.read.parquet(f"{tables(documents=turn)}/documents.parquet")
+        found = passages.repeated_passages(docs, Scratch(spark, "t")).collect()
+        assert sorted((r["doc_id"], r["start"], r["end"], r["source_ids"]) for r in found) == [(4, 0, 80, [1]), (9, 33, 113, [1])]
+        left = sorted((r["doc_id"] or 0, r["text"] or "") for r in passages.without_passages(docs, Scratch(spark, "t")).collect())
+        assert sorted((k, len(t.split())) for k, t in left) == [(0, 80), (1, 100), (4, 0), (4, 0), (9, 0), (9, 1), (9, 42), (9, 300)]
+        seen.add(tuple(left))
+    assert len(seen) == 1
+
+
+def test_passages_cut_out_of_odd_rows(spark, tables, clashing):
+    for path in (tables(documents=clashing), tables()):
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        out = passages.without_passages(docs, Scratch(spark, "t"))
+        assert out.columns == docs.columns
+        key = lambda r: (str(r["doc_id"]), r["text"] or "")
+        assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect()))
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------
 
 
