@@ -324,38 +324,56 @@ def gzip_ok(data):
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 7, "b": 2, "c": 1e-6}, {f"s{k}": 1 + k * k for k in range(20)}])
-def test_deviation_stays_below_one_block(weights):
-    shares = mixing.whole_shares(weights, 512)
-    assert sum(shares.values()) == 512
-    done = Counter()
-    for slot, s in enumerate(mixing.schedule(shares) * 2, 1):
-        done[s] += 1
-        assert all(abs(done[x] * 512 - slot * n) < 512 for x, n in shares.items())
-
-
-def test_deviation_from_the_given_weights():
-    weights = {"hot": 0.5} | {f"s{k}": 0.5 / 999 for k in range(999)}
-    assert mixing.whole_shares(weights, 4096)["hot"] == 2048 and min(mixing.whole_shares(weights | {"tiny": 1e-9}, 4096).values()) == 1
-    weights = {f"s{k}": (k + 1) ** 0.5 for k in range(20)} | {"hot": 31.7}
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 7, "b": 2, "c": 1e-6}, {f"s{k}": 1 + k * k for k in range(20)}, {"hot": 1 / 3} | {f"s{k}": 2 / 300 for k in range(100)}])
+def test_deviation_from_the_given_weights(weights):
     total, done = sum(weights.values()), Counter()
-    for slot, s in enumerate(mixing.schedule(mixing.whole_weights(weights), 60_000), 1):
+    for slot, s in enumerate(mixing.schedule(mixing.whole_weights(weights), 30_000), 1):
         done[s] += 1
         if slot % 7 == 0 or slot < 3000:
             assert all(abs(done[x] - slot * w / total) < 1 + 1e-9 for x, w in weights.items())
 
 
-@pytest.mark.parametrize("period", [mixing.PERIOD, 64])
-def test_blocks_keep_the_given_weights(spark, tables, period):
-    rows = [doc(k, "x" * 99, source=f"s{k % 5}") for k in range(3000)]
-    docs = spark.read.parquet(f"{tables(documents=rows)}/documents.parquet")
+def test_deviation_after_a_million_slots():
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 5**0.5, "d": 7**0.5, "tiny": 1e-6}
+    taken = np.array([ord(s[0]) for s in mixing.schedule(mixing.whole_weights(weights), 1_000_000)])
+    slots = np.arange(1, len(taken) + 1)
+    for s, w in weights.items():
+        assert np.abs(np.cumsum(taken == ord(s[0])) - slots * (w / sum(weights.values()))).max() < 1
+
+
+def test_sources_that_run_out():
+    """Blocks stay within their windows, and no work is done for a source that has run out."""
+    weight, blocks = [10**6, 3, 1], [10, 2000, 3000]
+    source, slot = mixing.turns(weight, blocks)
+    assert Counter(source) == dict(enumerate(blocks)) and list(slot) == sorted(set(slot))
+    for s in range(3):
+        own = [t for x, t in zip(source, slot, strict=True) if x == s]
+        assert all(k * sum(weight) // weight[s] <= t < -(-(k + 1) * sum(weight) // weight[s]) for k, t in enumerate(own))
+
+
+@pytest.mark.parametrize("hot", [20_000, 10])
+def test_blocks_keep_the_given_weights(spark, tables, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = [doc(k % 2500, "x" * 99, source=f"s{k % 5}") for k in range(2500)] + [doc(None, "x" * 99, source="s0")] * 500
+    docs = spark.read.parquet(f"{tables(documents=rows)}/documents.parquet").selectExpr("*", "monotonically_increasing_id() AS at")
     weights = {"s0": 0.7, "s1": 0.11, "s2": 0.09, "s3": 0.06, "s4": 0.04}
-    found = mixing.mix(docs, weights=weights, block_bytes=100, period=period).select("source", "mix_slot").collect()
+    found = mixing.mix(docs, weights=weights, block_bytes=100, row="at").select("source", "mix_slot").collect()
     assert len(found) == 3000 and len({r["mix_slot"] for r in found}) == 3000
     first = {s: sorted(r["mix_slot"] for r in found if r["source"] == s) for s in weights}
     for s, w in weights.items():
-        # within the exact schedule block k stands in its window; rounded to 64 slots it drifts
-        assert period == 64 or all(int(k / w + 1e-9) <= slot < (k + 1) / w + 1 for k, slot in enumerate(first[s]))
+        assert all(k / w - 1 - 1e-6 < slot < (k + 1) / w + 1e-6 + 1 for k, slot in enumerate(first[s]))
+
+
+def test_blocks_grow_with_the_corpus(spark, tables, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    docs = spark.read.parquet(f"{tables(documents=[doc(k, 'x' * 99, source=f's{k % 2}') for k in range(3000)])}/documents.parquet")
+    found = mixing.mix(docs, weights={"s0": 3, "s1": 1}, block_bytes=100).select("source", "mix_slot", "mix_block").collect()
+    slots = {(r["mix_slot"], r["source"], r["mix_block"]) for r in found}
+    assert len(found) == 3000 and len(slots) == len({t for t, _, _ in slots}) == 50
+    monkeypatch.setattr(mixing, "SOURCES", 1)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs)
 
 
 @needs_data
