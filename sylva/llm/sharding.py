@@ -2,7 +2,10 @@
 
 A record's identifier hashes to one of thousands of virtual slots; the slot never changes. Bytes are summed per slot, and a
 small map says which shard holds a slot. Rebalancing edits the map only: it moves or swaps as few slots as close the gap
-between the fullest and the emptiest shard, and stores the result as the map's next version.
+between the fullest and the emptiest shard, and stores the result as the map's next version beside the older ones.
+
+Where many records share one identifier their slot is heavy. Slots above a share of a shard are dealt over further slots by
+record, so that one of them is never more than that share; records in them are not placed by identifier alone.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .common import Scratch, literal_rows, number_within
 SLOTS = 8192
 #: Rows of a slot that one task sorts; larger slots are dealt over more tasks.
 SLOT_ROWS = 200_000
+#: A slot that holds more than one part in HEAVY of a shard's share is dealt over further slots.
+HEAVY = 16
 
 
 def size_of(text: Column) -> Column:
@@ -96,10 +101,19 @@ def rebalance(shard_of: list[int], weight: list[int], shards: int, rounds: int =
 
 
 class SlotMap:
-    """The stored map: a table (version, vslot, shard, bytes) in the shared folder; every edit appends a version."""
+    """The stored map: a table (version, vslot, shard, bytes); every edit appends a version, older ones can still be read.
+
+    Opened at a path that holds a map it goes on from the newest version. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        self.version = int(self._table().agg(F.max("version")).first()[0] or 0) if there else 0
 
-    def __init__(self, scratch: Scratch, name: str = "slot_map"):
-        self.spark, self.path, self.version = scratch.spark, scratch.path(name), 0
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema("vslot int, shard int, bytes bigint, version int").parquet(self.path)
 
     def store(self, shard_of: list[int], weight: list[int]) -> int:
         """Appends a version. The rows travel as one literal, so no Python worker is needed to write them."""
@@ -110,35 +124,62 @@ class SlotMap:
         return self.version
 
     def read(self, version: int | None = None) -> DataFrame:
-        schema = "vslot int, shard int, bytes bigint, version int"
-        return self.spark.read.schema(schema).parquet(self.path).where(F.col("version") == (version or self.version))
+        return self._table().where(F.col("version") == (version or self.version))
 
+    def newest(self) -> list[int]:
+        """The shard of each slot: a row for each slot, some thousands."""
+        return [r["shard"] for r in self.read().orderBy("vslot").collect()]
 
-def assign_shards(spark: SparkSession, records: DataFrame, shards: int, slots: int = SLOTS, order: tuple[str, str] | None = None) -> DataFrame:
+
+def heavy_slots(weight: list[int], shards: int) -> dict[int, int]:
+    """How many slots each heavy slot is dealt over; together no more than HEAVY * shards further ones."""
+    most = max(1, sum(weight) // (HEAVY * shards))
+    return {k: -(-w // most) for k, w in enumerate(weight) if w > most and most > 1}
+
+
+def assign_shards(spark: SparkSession, records: DataFrame, shards: int, slots: int = SLOTS, order: tuple[str, str] | None = None, map_path: str | None = None) -> DataFrame:
     """Places all records into shards 0 to shards - 1 under the law `bytes`: sizes near equal.
 
     records: doc_id, size, text_crc32; any further columns are carried along. Adds vslot (virtual slot), shard and slot
-    (place within the shard, gapless from 0). A null identifier is placed by its text's checksum, so nulls spread as well.
-    Rows with equal identifiers share a virtual slot. No rows in, no rows out. Columns of the input named vslot, shard or
-    slot are replaced. `order` names two columns that places within a shard ascend in: a piece that a task can sort, and the place in
-    it. Without it they ascend in virtual slot and identifier.
+    (place within the shard, gapless from 0). A null identifier is placed by its text's checksum. Records of a heavy slot (many
+    rows of one identifier, or equal texts without one) are dealt over further slots, so groups of equal texts need not stay
+    together: law `bytes` binds sizes alone. No rows in, no rows out. Columns of the input named vslot, shard or slot are replaced.
+
+    `map_path` is where the map is kept: a map that stands there is edited by as few moves as restore the balance, for more or
+    fewer shards too, and the edit becomes its next version. Without it a map of its own is made. `order` names two columns that
+    places within a shard ascend in: a piece that a task can sort, and the place in it. Without it they ascend in virtual slot
+    and identifier.
     """
     scratch = Scratch(spark, "shards")
-    records = records.drop("vslot", "shard", "slot", "_piece")
-    base = scratch.table(records.withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots)), "records")
+    records = records.drop("vslot", "shard", "slot", "_piece", "_row")
+    base = records.withColumn("vslot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots)).withColumn("_row", F.monotonically_increasing_id())
+    base = scratch.table(base, "records")
     # at most `slots` rows, whatever the input holds
-    sums = base.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     weight = [0] * slots
+    for r in base.groupBy("vslot").agg(F.sum("size").alias("b")).collect():
+        weight[r["vslot"]] = r["b"]
+    heavy, first = [], slots
+    for k, parts in heavy_slots(weight, shards).items():
+        heavy.append({"vslot": k, "_first": first, "_parts": parts})
+        first += parts
+    if heavy:
+        base = base.join(F.broadcast(literal_rows(spark, heavy, "vslot:int,_first:int,_parts:int")), "vslot", "left")
+        base = base.withColumn("vslot", F.coalesce(F.col("_first") + F.pmod(F.xxhash64("_row"), F.col("_parts")), F.col("vslot")).cast("int")).drop("_first", "_parts")
+    sums = base.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()  # slots and a few more
+    weight = [0] * first
     for r in sums:
         weight[r["vslot"]] = r["b"]
-    maps = SlotMap(scratch)
-    maps.store(first := first_map(shards, slots), weight)
-    maps.store(rebalance(first, weight, shards), weight)
+    maps = SlotMap(spark, map_path or scratch.path("slot_map"))
+    if not maps.version:
+        maps.store(first_map(shards, slots) + [k % shards for k in range(first - slots)], weight)
+    before = maps.newest()[:first]
+    before += [k % shards for k in range(first - len(before))]
+    maps.store(rebalance(before, weight, shards), weight)
     pieces = 1 + max((r["n"] for r in sums), default=0) // SLOT_ROWS
-    placed = base.join(F.broadcast(maps.read().select("vslot", "shard")), "vslot")  # `slots` rows of two numbers
-    spread = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces))
+    placed = base.join(F.broadcast(maps.read().select("vslot", "shard")), "vslot")  # a row of two numbers for each slot
+    spread = F.pmod(F.xxhash64("_row"), F.lit(pieces))
     placed = placed.withColumn("_piece", F.col(order[0]) if order else F.col("vslot").cast("long") * pieces + spread)
-    return number_within(placed, "shard", "_piece", [*([F.col(order[1])] if order else []), F.col("doc_id"), F.col("text_crc32"), F.col("size")]).drop("_piece")
+    return number_within(placed, "shard", "_piece", [*([F.col(order[1])] if order else []), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("_row")]).drop("_piece", "_row")
 
 
 def op1(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:

@@ -46,9 +46,37 @@ def test_shards(spark):
     assert max(by.values()) - min(by.values()) <= max(r["size"] for r in rows)
 
 
+def test_one_identifier_in_very_many_rows(spark):
+    rows = spark.range(20_000).selectExpr("IF(id < 6000, 7, id) AS doc_id", "8 + id % 50 AS size", "IF(id < 3000, 1, id) AS text_crc32")
+    placed = sharding.assign_shards(spark, rows, 24).collect()
+    by, slots = Counter(), {}
+    for r in placed:
+        by[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(placed) == 20_000 and max(by.values()) - min(by.values()) <= 58
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id AS doc_id", "100 + id % 77 AS size", "id AS text_crc32")
+    path = str(tmp_path / "map")
+    place = lambda shards, df=rows: {r["doc_id"]: r["shard"] for r in sharding.assign_shards(spark, df, shards, slots=512, map_path=path).collect()}
+    one = place(8)
+    assert place(8) == one
+    grown = place(9)
+    moved = [k for k in one if one[k] != grown[k]]
+    assert set(grown.values()) == set(range(9)) and len(moved) < 0.2 * 4000
+    more = place(9, rows.union(spark.range(4000, 4400).selectExpr("id AS doc_id", "100 AS size", "id AS text_crc32")))
+    assert sum(grown[k] != more[k] for k in grown) < 0.1 * 4000
+    maps = sharding.SlotMap(spark, path)
+    assert maps.version == 5 and maps.read(2).count() == 512
+    old = {r["vslot"]: r["shard"] for r in maps.read(2).collect()}
+    assert set(old.values()) == set(range(8))
+
+
 def test_large_slots_are_numbered_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 3)
-    rows = sharding.assign_shards(spark, spark.range(500).selectExpr("id % 400 AS doc_id", "id + 8 AS size", "id AS text_crc32"), 3, slots=16).collect()
+    rows = sharding.assign_shards(spark, spark.range(500).selectExpr("id % 400 AS doc_id", "id + 8 AS size", "id AS text_crc32"), 3, slots=64).collect()
     for k in range(3):
         own = sorted(r["slot"] for r in rows if r["shard"] == k)
         assert own == list(range(len(own)))
