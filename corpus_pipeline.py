@@ -28,7 +28,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each once, in the order that mixes the sources to their target weights: files and rows ascend in it."""
-    return mixing.mix(docs).orderBy("mix_slot", "mix_offset").select(*docs.columns)
+    rows = docs.withColumn("_row", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    return mixing.mix(rows, row="_row").orderBy("mix_slot", "mix_offset").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
