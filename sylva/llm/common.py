@@ -82,6 +82,18 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+def read_pieces(spark: SparkSession, path: str, glob: str = "part-*") -> DataFrame:
+    """The bytes of files of any size as rows (file, piece): a partition holds whole files, one after the other, in order.
+
+    Spark's line reader reads ranges of the files in parallel and cuts at NUL bytes, which the pieces leave out, so no task holds
+    a file. Every piece is followed by a NUL, also the last one of a file that does not end with one.
+    """
+    rows = spark.read.option("lineSep", "\0").option("pathGlobFilter", glob).text(path)
+    at = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n")]
+    rows = rows.select(*at, F.col("value").cast("binary").alias("piece"))
+    return rows.repartition("file").sortWithinPartitions("file", "_start", "_n").select("file", "piece")
+
+
 #: Rows of a sift's filter at most (512 bits each, about 30 MB in all as broadcast), and bits for each key below that.
 SIFT_ROWS, SIFT_BITS = 1 << 18, 12
 

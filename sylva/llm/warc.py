@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisit records and a sequential reader.
 
-Each record is a gzip member of its own. The reader goes through an archive once: it inflates a member in small pieces, takes
-the header lines, then as many block bytes as Content-Length says, and checks the digests it was told.
+Each record is a gzip member of its own. The reader goes through an archive once, from front to back, and holds a piece of it at
+a time: it inflates a member in small pieces, takes the header lines, then as many block bytes as Content-Length says, and checks
+the digests it was told. So neither archives nor records need to fit into memory, unless payloads are asked for.
 
 A record whose payload equals an earlier chosen one is a revisit: it keeps the HTTP headers (Content-Length among them), the
 payload's digest and the other record's identifier, but not the payload.
@@ -13,16 +14,20 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_binary, ready, slices, write_binary
+from .common import Scratch, dealt_join, hot_keys, read_pieces, ready, sift, slices, write_binary
 
 #: Payloads below this many bytes are always stored.
 LEAST_SHARED = 1000
-ARCHIVE_RECORDS = 5000
+#: Records are gathered to rows of so many bytes, and so many rows make an archive: 64 MB, and a last record.
+ROW_BYTES, ARCHIVE_ROWS = 1 << 20, 64
 PIECE = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -42,10 +47,10 @@ def page_of(record: str | None) -> int | None:
 
 
 def make_member(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member without its last byte if that is NUL, which write_binary() adds again.
+    """One record as a gzip member.
 
-    The last byte is the top one of the record's length, so only records of 16 MB and more lack it; there the added NUL is
-    padding after the member, which readers skip.
+    Its last byte is the top one of the record's length, NUL below 16 MB. write_binary() ends rows with a NUL; where a row's last
+    member has none that is padding, which readers skip.
     """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -57,44 +62,60 @@ def make_member(page_id: int | None, url: str | None, payload: bytes, digest: st
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines.append(f"Content-Length: {len(block)}")
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    member = pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
-    return member[:-1] if member[-1] == 0 else member
+    return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 256):
-        made = [make_member(*r.values()) for r in batch.select(["page_id", "url", "payload", "digest", "refers_to", "revisit"]).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["bytes"])
+def _members(batches: Iterable[pa.RecordBatch], row_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about row_bytes of members. A NUL that ends a row is left to write_binary()."""
+    held, size = [], 0
+    for batch in slices(batches, 16):
+        for r in batch.select(["page_id", "url", "payload", "digest", "refers_to", "revisit"]).to_pylist():
+            held.append(make_member(*r.values()))
+            size += len(held[-1])
+            if size >= row_bytes:
+                yield _row(held)
+                held, size = [], 0
+    if held:
+        yield _row(held)
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, name: str = "archives", least: int = LEAST_SHARED) -> str:
+def _row(members: list[bytes]) -> pa.RecordBatch:
+    body = b"".join(members)
+    return pa.RecordBatch.from_arrays([pa.array([body[:-1] if body[-1] == 0 else body], pa.binary())], names=["bytes"])
+
+
+def write_archives(pages: DataFrame, scratch: Scratch, name: str = "archives", least: int = LEAST_SHARED, row_bytes: int = ROW_BYTES, rows_a_file: int = ARCHIVE_ROWS) -> str:
     """Writes every row of pages (page_id, url, html) as a record and returns the folder of archives.
 
     Of records with equal payloads of at least `least` bytes, that with the largest page_id is the response. A null html is
     an empty payload; a null page_id ranks below all others and has an empty identifier; of repeated rows one is the
-    response. Digests find the equal payloads, so only digests that occur twice are gathered, a row for each.
+    response. No rows make no records. Digests find the equal payloads; which records those are is a row of numbers for each
+    digest that occurs twice, and only payloads that a sift takes for such are shuffled to them. Archives are cut by bytes.
     """
     ready(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("big", F.octet_length("payload") >= least)
-    # which of several equal rows is meant: their place in the written table of digests decides
-    keys = scratch.table(rows.select("page_id", "digest", "big").where("big").select("page_id", "digest"), "digests")
-    shared = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("first")).where("copies > 1").select(F.col("digest").alias("_digest"), "first")
+    keys = scratch.table(rows.where("big").select("page_id", "digest"), "digests")
+    shared = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("first")).where("copies > 1")
+    shared = scratch.table(shared, "shared")
     ties = keys.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    joined = rows.join(shared, F.col("digest") == F.col("_digest"), "left")
-    joined = joined.withColumn("refers_to", F.when(F.col("big"), F.col("first")))
-    joined = joined.withColumn("revisit", F.col("big") & F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    marked = sift(rows, "digest", shared.select("digest"), shared.count()).withColumn("_maybe", F.col("_maybe") & F.col("big"))
+    none = [F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit")]
+    alone = marked.where("not _maybe").select("page_id", "url", "payload", "digest", *none)
+    joined = dealt_join(marked.where("_maybe"), shared, ["digest"], hot_keys(shared.select("digest", "copies"), "copies"), ["page_id", "url"], "left")
+    revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    joined = joined.withColumn("refers_to", F.col("first")).withColumn("revisit", revisit)
     if ties:
         joined = _one_response(joined, scratch)
-    out = joined.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(_members, "bytes binary")
-    write_binary(out, scratch.path(name), ARCHIVE_RECORDS)
+    out = alone.unionByName(joined.select(*alone.columns)).mapInArrow(lambda batches: _members(batches, row_bytes), "bytes binary")
+    write_binary(out, scratch.path(name), rows_a_file)
     return scratch.path(name)
 
 
 def _one_response(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Where rows repeat with one page_id and payload, all but one become revisits."""
-    kept = rows.where(~F.col("big") | F.col("_digest").isNull() | F.col("revisit"))
-    firsts = rows.where(F.col("big") & F.col("_digest").isNotNull() & ~F.col("revisit"))
+    kept = rows.where(F.col("copies").isNull() | F.col("revisit"))
+    firsts = rows.where(F.col("copies").isNotNull() & ~F.col("revisit"))
     firsts = scratch.table(firsts.withColumn("_mark", F.monotonically_increasing_id()), "firsts")
     least = firsts.groupBy("digest").agg(F.min("_mark").alias("_least"))
     firsts = firsts.join(least, "digest").withColumn("revisit", F.col("_mark") != F.col("_least"))
@@ -110,33 +131,40 @@ class FormatError(ValueError):
 
 
 class Inflated:
-    """The bytes of the gzip members of an archive, one member at a time, inflated in small pieces."""
+    """The bytes of the gzip members of an archive, one member at a time, inflated in small pieces as the archive's come in."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at = memoryview(data), 0
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.raw = iter(pieces), b""
         self.engine: zlib._Decompress | None = None
         self.ready = b""
 
-    def next_member(self) -> bool:
-        while self.at < len(self.data) and self.data[self.at] == 0:
-            self.at += 1
-        if self.at >= len(self.data):
-            return False
-        self.engine, self.ready = zlib.decompressobj(31), b""
+    def _fetch(self) -> bool:
+        """Whether there are bytes at hand that were not inflated."""
+        while not self.raw:
+            if (piece := next(self.pieces, None)) is None:
+                return False
+            self.raw = piece
         return True
 
+    def next_member(self) -> bool:
+        while self._fetch():
+            self.raw = self.raw.lstrip(b"\0")  # padding
+            if self.raw:
+                self.engine, self.ready = zlib.decompressobj(31), b""
+                return True
+        return False
+
     def _more(self) -> bytes:
         """The next inflated piece, at most PIECE bytes; empty at the member's end."""
         while not self.engine.eof:
             held = self.engine.unconsumed_tail
             if not held:
-                held = self.data[self.at : self.at + PIECE]
-                self.at += len(held)
-                if not held:
+                if not self._fetch():
                     raise FormatError("the archive ends within a record")
+                held, self.raw = self.raw, b""
             piece = self.engine.decompress(held, PIECE)
             if self.engine.eof:
-                self.at -= len(self.engine.unused_data)
+                self.raw = self.engine.unused_data + self.raw
             if piece:
                 return piece
         return b""
@@ -173,9 +201,9 @@ def headers(raw: bytes) -> tuple[str, dict[str, str]]:
     return first, {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
 
 
-def read_archive(data: bytes, keep_payload: bool = False) -> Iterator[dict]:
-    """The records of one archive in order. Raises if framing or a digest is wrong."""
-    source = Inflated(data)
+def read_archive(pieces: Iterable[bytes], keep_payload: bool = False) -> Iterator[dict]:
+    """The records of one archive, whose bytes come in pieces, in order. Raises if framing or a digest is wrong."""
+    source = Inflated(pieces)
     while source.next_member():
         version, head = headers(source.until(b"\r\n\r\n"))
         if not version.startswith("WARC/"):
@@ -214,26 +242,36 @@ SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, r
 ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """The records of all archives of a folder. payload is null unless asked for, and for revisits."""
+def _by_file(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """File and bytes of runs of pieces, with the NULs that stood between them."""
+    for batch in batches:
+        files = batch["file"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)] if len(files) else [0]
+        pieces = batch["piece"]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield int(files[a]), b"\0".join(pieces.slice(a, b - a).to_pylist()) + b"\0"
+
+
+def read_archives(spark: SparkSession, path: str, keep_payload: bool = False, glob: str = "part-*") -> DataFrame:
+    """The records of all archives of a folder, of any size. payload is null unless asked for, and for revisits."""
     ready(spark)
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            rows, held = [], 0
-            for row in read_archive(batch["content"][0].as_py(), keep_payload):
+        rows, held = [], 0
+        for _, runs in groupby(_by_file(batches), itemgetter(0)):
+            for row in read_archive((piece for _, piece in runs), keep_payload):
                 rows.append(row)
                 held += len(row["payload"] or b"")
                 if len(rows) >= 2000 or held > 16 << 20:
                     yield pa.RecordBatch.from_pylist(rows, ARROW)
                     rows, held = [], 0
-            yield pa.RecordBatch.from_pylist(rows, ARROW)
+        yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    return read_binary(spark, path).select("content").mapInArrow(parse, SCHEMA)
+    return read_pieces(spark, path, glob).mapInArrow(parse, SCHEMA)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written as a WARC record and read back."""
+    """Every page written as a WARC record and read back. Null html is an empty payload, repeated rows have a record each."""
     scratch = Scratch(spark, "warc")
     path = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

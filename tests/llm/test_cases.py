@@ -3,12 +3,13 @@
 import hashlib
 import zlib
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from sylva.llm.queries import QUERIES
 
-from .conftest import ODD, doc
+from .conftest import ODD, SCHEMAS, doc
 
 ALL = sorted(QUERIES)
 
@@ -46,10 +47,12 @@ def test_odd_values(spark, tables):
 
 
 def test_clashing_columns(spark, tables, clashing):
-    path = tables(documents=clashing, benchmark=[{"item_id": 1, "text": "no such words here"}])
+    names = ["digest", "payload", "big", "first", "copies", "revisit", "refers_to", "bytes"]
+    pages = pa.Table.from_pylist([page(1, "x" * 1000) | dict.fromkeys(names, 7), page(2, "x" * 1000) | dict.fromkeys(names, 7)], schema=pa.schema([*SCHEMAS["pages"], *[(n, pa.int32()) for n in names]]))
+    path = tables(documents=clashing, benchmark=[{"item_id": 1, "text": "no such words here"}], pages=pages)
     for name in ALL:
-        if name not in ("op2_warc",):
-            QUERIES[name](spark, path).collect()
+        rows = QUERIES[name](spark, path).collect()
+        assert name != "op2_warc" or {(r["page_id"], r["refers_to"]) for r in rows} == {(1, 2), (2, None)}
     docs = spark.read.parquet(f"{path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, path)

@@ -328,25 +328,45 @@ def test_warc_reader_checks():
 
     body = b"<p>hello" * 20_000
     member = warc.make_member(7, "http://x/ y", body, hashlib.sha1(body).hexdigest(), None, False)
-    member += b"" if gzip_ok(member) else b"\0"
-    rows = list(warc.read_archive(member + b"\0" + member, keep_payload=True))
+    rows = list(warc.read_archive([member + b"\0" + member], keep_payload=True))
+    assert rows == list(warc.read_archive([bytes([b]) for b in member + member], keep_payload=True))
     assert [(r["page_id"], r["payload"] == body, r["url"]) for r in rows] == [(7, True, "http://x/y")] * 2
     raw = gzip.decompress(member)
     for bad in (raw.replace(b"hello", b"jello", 1), raw.replace(b"WARC/1.1", b"HTTP/1.1"), raw[:-1], raw.replace(b"sha1:", b"sha1:A", 1)[:-1]):
         with pytest.raises((warc.DigestError, warc.FormatError)):
-            list(warc.read_archive(gzip.compress(bad)))
+            list(warc.read_archive([gzip.compress(bad)]))
     with pytest.raises(warc.FormatError):
-        list(warc.read_archive(member[: len(member) // 2]))
+        list(warc.read_archive([member[: len(member) // 2]]))
 
 
-def gzip_ok(data):
-    import gzip
+def test_archives_larger_than_a_task_reads(spark, tmp_path):
+    """One archive that many tasks read ranges of, with records larger than those and runs of NULs at the ranges' ends."""
+    import hashlib
 
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
     try:
-        gzip.decompress(data)
-        return True
-    except (EOFError, OSError):
-        return False
+        rng = random.Random(4)
+        bodies = [rng.randbytes(rng.choice([0, 10, 5000, 400_000])) + b"\0" * rng.randrange(5) for _ in range(40)]
+        data = b"".join(warc.make_member(k, None, b, hashlib.sha1(b).hexdigest(), None, False) + b"\0" * rng.randrange(4) for k, b in enumerate(bodies))
+        for name in ("part-a", "part-b"):
+            (tmp_path / name).write_bytes(data)
+        rows = warc.read_archives(spark, str(tmp_path), keep_payload=True).collect()
+        assert common.read_pieces(spark, str(tmp_path)).count() > 1000
+        assert sorted((r["page_id"], bytes(r["payload"])) for r in rows) == sorted(2 * [*enumerate(bodies)])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_archives_are_cut_by_bytes(spark, tables):
+    import os
+
+    rng = random.Random(6)
+    pages = [{"page_id": k, "url": "http://x/", "html": "".join(rng.choices("abcdefgh", k=30_000))} for k in range(40)]
+    scratch = Scratch(spark, "cut")
+    path = warc.write_archives(spark.read.parquet(f"{tables(pages=pages)}/pages.parquet").coalesce(1), scratch, row_bytes=20_000, rows_a_file=2)
+    sizes = [os.path.getsize(f"{path[7:]}/{f}") for f in os.listdir(path[7:]) if f.startswith("part-")]
+    assert len(sizes) > 5 and max(sizes) < 2 * (20_000 + 15_000)
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).collect()) == list(range(40))
 
 
 # --- mixing -----------------------------------------------------------------------------------------------------------
