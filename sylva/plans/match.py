@@ -58,25 +58,43 @@ def on_path(steps: tuple[Step, ...], below: str = "", path: Column | None = None
     return path.startswith(literal) & test if literal else test
 
 
-def within(outer: DataFrame, inner: DataFrame, disjoint: bool, condition: Column | None = None, carry: list[str] | None = None) -> DataFrame:
-    """inner's rows that lie within a row of outer (itself excluded), with outer's carried columns.
+def _assigned(both: DataFrame, disjoint: bool) -> DataFrame:
+    """both with _at, the nearest _outer that begins at or before the row, of each depth that outer nodes have.
 
-    Where outer's nodes are disjoint one pass in document order finds the outer node of each inner one. Nested ones are
-    matched one by one with a join on the document and the range of positions.
+    both: doc_id, pre, _depth and _outer, a struct for outer nodes and null for other rows. Nodes of one depth never overlap, so a
+    running last value in document order finds them; where outer nodes may lie within one another a row stands once for each
+    depth of the document's outer nodes. It is all one shuffle by document, and no pairs are made.
     """
+    by = ["doc_id"]
+    if not disjoint:
+        outer = F.col("_outer").isNotNull()
+        depths = F.collect_set(F.when(outer, F.col("_depth"))).over(Window.partitionBy("doc_id"))
+        levels = F.when(outer, F.array("_depth")).otherwise(F.filter(depths, lambda d: d <= F.col("_depth")))
+        both, by = both.withColumn("_level", levels).withColumn("_level", F.explode("_level")), ["doc_id", "_level"]
+    order = Window.partitionBy(*by).orderBy("pre", F.col("_outer").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_at", F.last("_outer", ignorenulls=True).over(order))
+
+
+def _inside() -> Column:
+    return F.col("_outer").isNull() & (F.col("pre") > F.col("_at.pre")) & (F.col("pre") <= F.col("_at.last"))
+
+
+def within(outer: DataFrame, inner: DataFrame, disjoint: bool, condition: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """inner's rows that lie within a row of outer (itself excluded), with outer's carried columns; a row for each such outer one."""
     carry = SCOPE if carry is None else carry
     held = ["pre", "last", "path", *carry]
-    if disjoint:
-        marks = outer.select("doc_id", "pre", F.struct(*[F.col(c).alias(c) for c in held]).alias("_outer"), *[F.lit(None).cast(inner.schema[c].dataType).alias(f"_{c}") for c in inner.columns if c not in ("doc_id", "pre")])
-        rows = inner.select("doc_id", "pre", F.lit(None).cast(marks.schema["_outer"].dataType).alias("_outer"), *[F.col(c).alias(f"_{c}") for c in inner.columns if c not in ("doc_id", "pre")])
-        order = Window.partitionBy("doc_id").orderBy("pre", F.col("_outer").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-        both = rows.unionByName(marks).withColumn("_at", F.last("_outer", ignorenulls=True).over(order))
-        found = both.where(F.col("_outer").isNull() & (F.col("pre") > F.col("_at.pre")) & (F.col("pre") <= F.col("_at.last")))
-        found = found.select("doc_id", "pre", *[F.col(f"_{c}").alias(c) for c in inner.columns if c not in ("doc_id", "pre")], F.col("_at"))
-        found = found.select(*inner.columns, *[F.col(f"_at.{c}").alias(c if c in carry else f"_o_{c}") for c in held])
-    else:
-        o = outer.select(F.col("doc_id").alias("_o_doc"), *[F.col(c).alias(c if c in carry else f"_o_{c}") for c in held])
-        found = inner.join(o, (F.col("doc_id") == F.col("_o_doc")) & (F.col("pre") > F.col("_o_pre")) & (F.col("pre") <= F.col("_o_last")))
+    repeated = not disjoint and bool(carry)  # one node may have been reached from several contexts
+    if repeated:
+        outer = outer.groupBy("doc_id", "pre", "last", "path", "depth").agg(F.collect_set(F.struct(*carry)).alias("_carried"))
+        held = ["pre", "last", "path", "_carried"]
+    own = [c for c in inner.columns if c not in ("doc_id", "pre", "depth")]
+    marks = outer.select("doc_id", "pre", F.col("depth").alias("_depth"), F.struct(*[F.col(c).alias(c) for c in held]).alias("_outer"), *[F.lit(None).cast(inner.schema[c].dataType).alias(f"_{c}") for c in own])
+    rows = inner.select("doc_id", "pre", F.col("depth").alias("_depth"), F.lit(None).cast(marks.schema["_outer"].dataType).alias("_outer"), *[F.col(c).alias(f"_{c}") for c in own])
+    found = _assigned(rows.unionByName(marks), disjoint).where(_inside())
+    found = found.select(*[F.col(c if c in ("doc_id", "pre") else f"_{c}").alias(c) for c in inner.columns], "_at")
+    if repeated:
+        found = found.withColumn("_c", F.explode("_at._carried"))
+    found = found.select(*inner.columns, *[F.col(f"_at.{c}").alias(f"_o_{c}") for c in ("pre", "last", "path")], *[F.col(f"_c.{c}" if repeated else f"_at.{c}").alias(c) for c in carry])
     if condition is not None:
         found = found.where(condition)
     return found.select(*inner.columns, *carry)
@@ -88,54 +106,82 @@ def below_outer(steps: tuple[Step, ...], suffix: str = "") -> Column:
     return rest.rlike(f"^{pattern(steps)}{suffix}$")
 
 
-def _values(nodes: DataFrame, base: DataFrame, target: tuple[str, ...]) -> DataFrame:
-    """(doc_id, _owner, value) of what a predicate's target selects below each base node."""
+def _below(target: tuple[str, ...], text: bool) -> str:
+    """The pattern of what a predicate's target selects, as the rest of a label path. text: the text of elements is meant."""
     *names, last = target
-    if last != "." and last != "text()" and not last.startswith("@"):
-        names, last = [*names, last], "text()"
-    owner = base.select("doc_id", F.col("pre").alias("_owner"), F.col("pre").alias("_here"))
-    for name in names:
-        child = nodes.where((F.col("kind") == ELEMENT) & (F.col("tag") == name)).select("doc_id", F.col("parent").alias("_here"), F.col("pre").alias("_next"))
-        owner = owner.join(child, ["doc_id", "_here"]).select("doc_id", "_owner", F.col("_next").alias("_here"))
-    if last == ".":
-        text = nodes.where(F.col("kind") == TEXT).select("doc_id", "pre", "value")
-        spans = nodes.where(F.col("kind") == ELEMENT).select("doc_id", F.col("pre").alias("_here"), F.col("last").alias("_end"))
-        spans = owner.join(spans, ["doc_id", "_here"]).select(F.col("doc_id").alias("_d"), "_owner", "_here", "_end")
-        runs = text.join(spans, (F.col("doc_id") == F.col("_d")) & (F.col("pre") >= F.col("_here")) & (F.col("pre") <= F.col("_end")))
-        return runs.groupBy("doc_id", "_owner").agg(F.expr("listagg(value, '') WITHIN GROUP (ORDER BY pre)").alias("value"))
-    test = F.col("kind") == (TEXT if last == "text()" else ATTRIBUTE)
-    if last.startswith("@") and last != "@*":
-        test &= F.col("tag") == last[1:]
-    leaf = nodes.where(test).select("doc_id", F.col("parent").alias("_here"), "value")
-    return owner.join(leaf, ["doc_id", "_here"]).select("doc_id", "_owner", "value")
-
-
-def _holds(nodes: DataFrame, base: DataFrame, p: Predicate) -> DataFrame:
-    """(doc_id, _owner) of the base nodes that satisfy a predicate; base has doc_id, pre, sib, nth."""
+    tail = [last] if last == "text()" or last.startswith("@") else [last, "text()"] if text else [last]
+    return "".join("/@[^/]+" if n == "@*" else "/" + re.escape(n) for n in [*names, *tail])
+
+
+def _leaves(predicates: list[Predicate]) -> list[Predicate]:
+    """The single tests of predicates."""
+    return [q for p in predicates for q in (_leaves(list(p.parts)) if p.kind in ("and", "or") else [p])]
+
+
+def _holds(p: Predicate, number: dict[Predicate, int]) -> Column:
     if p.kind in ("and", "or"):
-        parts = [_holds(nodes, base, q) for q in p.parts]
-        if p.kind == "or":
-            return reduce(DataFrame.union, parts).distinct()
-        return reduce(lambda a, b: a.join(b, ["doc_id", "_owner"], "left_semi"), parts)
-    if p.kind == "exists" and p.target[-1] not in (".", "text()") and not p.target[-1].startswith("@"):
-        owner = base.select("doc_id", F.col("pre").alias("_owner"), F.col("pre").alias("_here"))
-        for name in p.target:
-            child = nodes.where((F.col("kind") == ELEMENT) & (F.col("tag") == name)).select("doc_id", F.col("parent").alias("_here"), F.col("pre").alias("_next"))
-            owner = owner.join(child, ["doc_id", "_here"]).select("doc_id", "_owner", F.col("_next").alias("_here"))
-        return owner.select("doc_id", "_owner")
-    value = F.col("value")
-    test = {"exists": lambda: F.lit(True), "contains": lambda: value.contains(p.value), "starts": lambda: value.startswith(p.value), "compare": lambda: compare(value, p.op, p.value)}[p.kind]()
-    return _values(nodes, base, p.target).where(test).select("doc_id", "_owner")
-
-
-def _filtered(nodes: DataFrame, found: DataFrame, step: Step) -> DataFrame:
-    for p in step.predicates:
-        if p.kind == "position":
-            found = found.where(F.col("nth" if step.name is None else "sib") == p.value)
-        else:
-            holds = _holds(nodes, found.select("doc_id", "pre").distinct(), p).select(F.col("doc_id").alias("_d"), "_owner")
-            found = found.join(holds, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_owner")), "left_semi")
-    return found
+        return reduce((lambda a, b: a & b) if p.kind == "and" else (lambda a, b: a | b), [_holds(q, number) for q in p.parts])
+    return F.coalesce(F.col(f"_p{number[p]}"), F.lit(False))
+
+
+def _test(p: Predicate, value: Column) -> Column:
+    """Whether a value satisfies a single test."""
+    return {"exists": lambda: F.lit(True), "contains": lambda: value.contains(p.value), "starts": lambda: value.startswith(p.value), "compare": lambda: compare(value, p.op, p.value)}[p.kind]()
+
+
+def _whole(p: Predicate, texts: Column, spans: Column | None) -> Column:
+    """Whether the text of an element satisfies a test: of the owner itself, or of one of the spans (pre, _last) below it."""
+    join = lambda t: F.array_join(F.transform(t, lambda x: x["_value"]), "")
+    each = F.array(join(texts)) if spans is None else F.transform(spans, lambda e: join(F.filter(texts, lambda t: (t["pre"] > e["pre"]) & (t["pre"] <= e["_last"]))))
+    return F.exists(each, lambda v: _test(p, v))
+
+
+def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...], disjoint: bool) -> DataFrame:
+    """Of found the nodes that satisfy the predicates of run's last step; without found, of the nodes that run selects.
+
+    All predicates of a step are settled in one pass over the nodes they speak of, in document order.
+    """
+    step = run[-1]
+    position = [F.col("nth" if step.name is None else "sib") == p.value for p in step.predicates if p.kind == "position"]
+    tests = [p for p in step.predicates if p.kind != "position"]
+    if found is None:
+        here = reduce(lambda a, b: a & b, [on_path(run), *position])
+        if not tests:
+            return nodes.where(here)
+    else:
+        found = found.where(reduce(lambda a, b: a & b, position)) if position else found
+        if not tests:
+            return found
+    leaves = list(dict.fromkeys(_leaves(tests)))
+    number = {p: k for k, p in enumerate(leaves)}
+    whole = [p for p in leaves if p.target[-1] == "."]  # tests of an element's whole text gather it first
+    below = {p: _below(p.target, p.kind != "exists") for p in leaves if p not in whole}
+    spans = {p: "".join("/" + re.escape(n) for n in p.target[:-1]) for p in whole}
+    for p in whole:
+        below[p] = rf"{spans[p]}(?:/{NAME})*/text\(\)"
+    shape = "(?:" + "|".join(dict.fromkeys([*below.values(), *filter(None, spans.values())])) + ")"
+    reached = on_path(run, shape) if found is None else F.col("path").rlike(f"{shape}$")
+    columns = nodes.columns if found is None else found.columns
+    slim = [F.col("doc_id"), F.col("pre"), F.col("depth").alias("_depth")]
+    leaf = {"_path": "path", "_value": "value", "_last": "last"}
+    if found is None:
+        role = F.explode(F.array_compact(F.array(F.when(here, F.lit(True)), F.when(reached, F.lit(False)))))
+        both = nodes.where(here | reached).withColumn("_role", role)
+        both = both.select(*slim, F.when(F.col("_role"), F.struct(*columns)).alias("_outer"), *[F.when(~F.col("_role"), F.col(c)).alias(n) for n, c in leaf.items()])
+    else:
+        marks = found.select(*slim, F.struct(*columns).alias("_outer"), *[F.lit(None).cast(nodes.schema[c].dataType).alias(n) for n, c in leaf.items()])
+        both = nodes.where(reached).select(*slim, F.lit(None).cast(marks.schema["_outer"].dataType).alias("_outer"), *[F.col(c).alias(n) for n, c in leaf.items()]).unionByName(marks)
+    rest = F.substring("_path", F.length("_at.path") + 1, F.length("_path"))
+    both = _assigned(both, disjoint)
+    inside = _inside()
+    flags = [F.bool_or(inside & rest.rlike(f"^{below[p]}$") & _test(p, F.col("_value"))).alias(f"_p{number[p]}") for p in leaves if p not in whole]
+    gather = lambda shape, *c: F.array_sort(F.collect_list(F.when(inside & rest.rlike(f"^{shape}$"), F.struct(*c))))
+    texts = [gather(below[p], "pre", "_value").alias(f"_t{number[p]}") for p in whole] + [gather(spans[p], "pre", "_last").alias(f"_s{number[p]}") for p in whole if spans[p]]
+    out = both.where("_at is not null").groupBy("doc_id", F.col("_at.pre").alias("_owner")).agg(F.collect_list("_outer").alias("_found"), *flags, *texts)
+    for p in whole:
+        out = out.withColumn(f"_p{number[p]}", _whole(p, F.col(f"_t{number[p]}"), F.col(f"_s{number[p]}") if spans[p] else None))
+    good = reduce(lambda a, b: a & b, [_holds(p, number) for p in tests])
+    return out.where(good).select(F.explode("_found").alias("_f")).select(*[F.col(f"_f.{c}").alias(c) for c in columns])
 
 
 def _kind(step: Step) -> Column:
@@ -156,18 +202,19 @@ def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, di
         n = next((k + 1 for k, s in enumerate(steps) if s.predicates or k + 1 < len(steps) and steps[k + 1].axis == "parent"), len(steps))
         run, steps = steps[:n], steps[n:]
         real = tuple(s for s in run if s.axis != "self")
+        outer_disjoint = disjoint
+        disjoint &= fixed(run)
         if at_root:
-            found, at_root = nodes.where(on_path(run)), False
-        elif len(real) == 1 and real[0].axis == "child":
+            found, at_root = _filtered(nodes, None, run, disjoint), False
+            continue
+        if len(real) == 1 and real[0].axis == "child":
             up = found.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_up"), *carry)
             found = nodes.where(_kind(real[0])).join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_up"))).select(*nodes.columns, *carry)
         elif real:
-            inner = nodes.where(_kind(real[-1]))
-            found = within(found, inner, disjoint, below_outer(run), carry)
-            if not disjoint:
+            found = within(found, nodes.where(_kind(real[-1])), outer_disjoint, below_outer(run), carry)
+            if not outer_disjoint:
                 found = found.dropDuplicates(["doc_id", "pre", *carry[:1]])
-        disjoint &= fixed(run)
-        found = _filtered(nodes, found, run[-1])
+        found = _filtered(nodes, found, run, disjoint)
     return found
 
 

@@ -64,12 +64,33 @@ def test_paths(nodes, path, strict, expected):
 
 
 def test_nested_matches(spark):
-    n = of(spark, "<a><a><c>123</c><a><c>123</c><d>456</d></a><d>456</d></a></a>")
-    assert len(values(match(n, "//a/a[1]/d/text()"))) == 2
-    scope = match(n, "//a")
-    pairs = [(r["ctx_pre"], r["pre"]) for r in match(n, "//d", scope).collect()]
-    assert len(pairs) == len(set(pairs)) == 5
-    assert sorted(r["v"] for r in ag.aggregate(n, "//a", [ag.Agg("sum", "int", "c", "v")]).collect()) == [0, 123, 123]
+    n = of(spark, "<s><p><p><q>1</q><p><x>7</x><q>2</q></p></p><q>3</q></p></s>")
+    assert values(match(n, "//p/p[1]/q/text()")) == ["1", "2"]
+    scope = match(n, "//p")
+    pairs = [(r["ctx_pre"], r["pre"]) for r in match(n, "//q", scope).collect()]
+    assert len(pairs) == len(set(pairs)) == 6
+    assert sorted(r["v"] for r in ag.aggregate(n, "//p", [ag.Agg("sum", "int", "q", "v")]).collect()) == [1, 2, 3]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_predicates_share_one_scan(spark, tmp_path, nodes):
+    nodes.write.parquet(str(tmp_path / "n"))
+    stored = spark.read.parquet(str(tmp_path / "n"))
+    tests = ["[@year]", "[@lang='en']", "[contains(title/text(),'XML')]", "[starts-with(author/text(),'B')]"]
+    plans = [match(stored, f"//book{''.join(tests[:k])}/title/text()") for k in range(1, 5)]
+    assert {scans(p) for p in plans} == {2}
+    assert [values(p) for p in plans] == [["XML & more", "Other"], ["XML & more"], ["XML & more"], ["XML & more"]]
+    assert scans(match(stored, "//book[@year][@lang='en']/title[text()]/text()")) == 4
+
+
+def test_many_matches_in_one_document(spark):
+    """Time grows with the matches, not with their square."""
+    n = of(spark, "<r>" + "".join(f"<i k='{k}'><j>{k}</j></i>" for k in range(30_000)) + "</r>").cache()
+    assert edit.select_subtrees(n, "//i").count() == 4 * 30_000
+    assert match(n, "j/text()", match(n, "//i")).count() == 30_000
 
 
 def test_many_paths_and_precedence(nodes):
@@ -235,6 +256,20 @@ def test_random_trees(spark):
                 hits = {id(e) for e in top.iterfind(xpath)}
                 want = [e.text for e in top.iter() if id(e) in hits and e.text]
             assert got.get(k, []) == want, (path, k)
+    for path, inner in (("//a", "//b"), ("//b", "*"), ("//c", "a/b")):
+        pairs = sorted((r["doc_id"], r["ctx_pre"], r["pre"]) for r in match(n, inner, match(n, path)).collect())
+        want = []
+        for k, t in enumerate(trees):
+            pre, count = {}, 0
+            for e in t.iter():
+                count += 1
+                pre[e] = count
+                count += len(e.attrib) + bool(e.text)
+            want += [(k, pre[e], pre[x]) for e in t.iter(path[2:]) for x in e.iterfind("." + inner if inner[0] == "/" else inner)]
+        assert pairs == sorted(want)
+    for path, holds in (("//a[b/.='33']/c", lambda e: any("".join(x.itertext()) == "33" for x in e.findall("b"))), ("//a[b or @x=1]/c", lambda e: e.find("b") is not None or e.get("x") == "1"), ("//a[.!='' and c]/b", lambda e: "".join(e.itertext()) != "" and e.find("c") is not None)):
+        count = sum(len(e.findall(path[-1])) for t in trees for e in t.iter("a") if holds(e))
+        assert match(n, path, strict=False).count() == count, path
     for e in ("a", "b"):
         left = {r["doc_id"]: r["xml"] for r in to_xml(edit.delete(n, [f"//{e}"])).collect()}
         for k, t in enumerate(trees):
