@@ -20,7 +20,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 #: Bytes of an Arrow batch. Spark's own 64 MB of whole texts stand in the JVM and again in each Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

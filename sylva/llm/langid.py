@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import held_out, ready, slices
 
 TOP = 300
-#: Documents of each language that profiles are learned from, about; the only bound here, and on training alone.
+#: Documents of each language that profiles are learned from, about; a bound on training alone.
 SAMPLE = 2000
+#: Languages that profiles are learned for, at most.
+LANGUAGES = 2000
 UNKNOWN = "und"
 
 
@@ -98,14 +100,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Profiles:
     """Profiles from text and non-null lang of documents outside the held-out fold.
 
     About `sample` documents of each language are read: those whose identifier's hash falls below sample / number of the
-    language's documents. What comes to the driver is `top` n-grams a language.
+    language's documents. What comes to the driver is `top` n-grams a language, of the LANGUAGES languages with most documents.
     """
     ready(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")).orderBy(F.col("_docs").desc(), "lang").limit(LANGUAGES)
     share = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.join(F.broadcast(counts), "lang") if counts.count() <= 10_000 else rows.join(counts, "lang")
-    drawn = drawn.where(share * F.col("_docs") < sample).select("lang", "text")
+    drawn = rows.join(F.broadcast(counts), "lang").where(share * F.col("_docs") < sample).select("lang", "text")
     grams = drawn.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     best = grams.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram", "rank").collect()

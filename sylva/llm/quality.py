@@ -185,12 +185,13 @@ def learn(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from the counts of labelled documents outside the held-out fold; null labels teach nothing.
 
     About `sample` labelled rows come to the driver: those whose identifier's hash falls below sample / their number. A
-    document with several labels teaches with each.
+    document with both labels teaches with each; where identifiers repeat twice as many rows come at most.
     """
-    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = counts.join(drawn, "doc_id").select("doc_id", *COUNTS, "quality").toPandas().sort_values(["doc_id", *COUNTS, "quality"])
+    rows = counts.join(drawn, "doc_id").select("doc_id", *COUNTS, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS, "quality").limit(2 * sample)
+    rows = rows.toPandas().sort_values(["doc_id", *COUNTS, "quality"])
     x = features(rows[COUNTS].to_numpy(dtype=np.int64).reshape(-1, len(COUNTS)))
     return Booster(signs=[s for _, s in FEATURES]).fit(x, rows["quality"].to_numpy(dtype=np.float64))
 

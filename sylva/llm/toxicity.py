@@ -21,6 +21,8 @@ from .common import held_out, ready, slices
 BUCKETS = 1 << 22
 #: Labelled documents that the weights are learned from, at most about; a bound on training alone.
 SAMPLE = 12_000
+#: Longer texts teach nothing; they are scored as any other.
+SAMPLE_BYTES = 1 << 18
 THRESHOLD = 0.3
 #: Letters of a word's stems. Inflected forms share them, so a form that training never saw still counts.
 STEMS = (3, 4, 5, 6)
@@ -123,7 +125,7 @@ class Model:
         at = buckets(text)
         at = np.unique(at[self._dense[at] != 0])  # few have a weight
         margin = float(self._dense[at].sum(dtype=np.float64)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+        return float(1 / (1 + np.exp(-np.clip(margin, -35, 35)))) if margin > -np.inf else 0.0
 
 
 def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,17 +137,23 @@ def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 3) -> Model:
     """Weights from labelled documents outside the held-out fold, seen in the order of a hash of their identifiers.
 
-    About `sample` labelled rows are hashed and come to the driver. Labels that are null or neither 0 nor 1 are skipped.
-    Without any, every score is one half.
+    About `sample` labelled rows are hashed and come to the driver, about twice as many at most where identifiers repeat, and none
+    with a text of more than SAMPLE_BYTES. Labels that are null or neither 0 nor 1 are skipped. Without any, every score is 0.
     """
     ready(docs.sparkSession)
-    known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.withColumn("_order", F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 40)))
     drawn = drawn.where(F.col("_order") < int(share * (1 << 40)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("_order", "toxic", "text")  # `sample` rows
+    short = docs.select("doc_id", "text").where(F.col("text").isNull() | (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = short.join(F.broadcast(drawn), "doc_id").select("_order", "toxic", "text")  # `sample` labels
+    n = docs.select("doc_id").join(F.broadcast(drawn), "doc_id").count()
+    if n > 2 * sample:  # identifiers repeat
+        rows = rows.where(F.pmod(F.xxhash64("_order", "text", "toxic"), F.lit(1 << 30)) < 2 * sample * (1 << 30) // n)
     sets = rows.mapInArrow(_hash, "_order long, toxic int, at binary").toLocalIterator()
     seen = sorted(((r["_order"], bytes(r["at"]), r["toxic"]) for r in sets))
+    if not seen:
+        return Model(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), -np.inf)
     ftrl = Ftrl()
     for _ in range(epochs):
         for _, at, label in seen:

@@ -1,11 +1,15 @@
 """Each method against a brute-force version or its own laws."""
 
+import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sylva.llm import common, decontaminate, dedup, langid, mixing, passages, quality, sharding, tokens, toxicity, warc
@@ -265,6 +269,93 @@ def test_toxicity_learns_rare_words(spark, tables):
     assert toxicity.buckets("Ab ab").tolist()[:2] == [toxicity.buckets("ab")[0]] * 2
 
 
+def plain_grams(text):
+    """Counts of 1- to 3-grams of a text's words, each between blanks."""
+    out = Counter()
+    padded = " " + " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split(" ")).strip() + " "
+    padded = re.sub(" +", " ", padded)
+    for k in range(len(padded)):
+        for n in (1, 2, 3):
+            g = padded[k : k + n]
+            if len(g) == n and g != " " and not (n == 3 and g[1] == " "):
+                out[g] += 1
+    return out
+
+
+def plain_order(counts):
+    number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[:300]
+
+
+def test_languages_equal_a_plain_version(spark, tables):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(400)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijklm"), ("cc", "abéßöxyz"))}
+    rows = []
+    for k in range(300):
+        lang = rng.choice(["aa", "bb", "cc"])
+        rows.append(doc(k, ", ".join(rng.choices(words[lang], k=rng.randrange(1, 60))).title(), lang if k % 7 else None))
+    rows += [doc(900, "12 34 !"), doc(901, ""), doc(902, None), doc(903, "ab"), doc(904, "word " * 30_000)]
+    profile = {}
+    for r in rows:
+        if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            profile.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    ranks = {lang: {g: i for i, g in enumerate(plain_order(c))} for lang, c in profile.items()}
+    found = {r["doc_id"]: r for r in QUERIES["op5_language"](spark, tables(documents=rows)).collect()}
+    for r in rows:
+        own = plain_order(plain_grams(r["text"] or ""))
+        if not own:
+            assert (found[r["doc_id"]]["lang_pred"], found[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(of[g] - i) if g in of else 300 for i, g in enumerate(own)) for lang, of in ranks.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert found[r["doc_id"]]["lang_pred"] == best and abs(found[r["doc_id"]]["score"] - (1 - apart[best] / (300 * len(own)))) < 1e-9
+
+
+def test_toxicity_equals_plain_ftrl(spark, tables):
+    """Weights and scores against a version with dictionaries that goes coordinate by coordinate."""
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("bad", "fine", "odd", "calm", "rude") for b in ("", "er", "ness", "ly", "s")]
+    rows = [doc(k, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for k in range(300)]
+    labels = [{"doc_id": k, "quality": 1, "toxic": int("rude" in rows[k]["text"])} for k in range(200)] + [{"doc_id": 5, "quality": 1, "toxic": None}]
+    z, n, bias_z, bias_n = Counter(), Counter(), 0.0, 0.0
+    step = lambda n: (1.0 + n**0.5) / 0.3
+    weight = lambda i: 0.0 if abs(z[i]) <= 1.0 else -(z[i] - (1.0 if z[i] > 0 else -1.0)) / (step(n[i]) + 0.5)
+    logistic = lambda m: 1 / (1 + math.exp(-m))
+    docs = spark.read.parquet(f"{tables(documents=rows, labels=labels)}/documents.parquet")
+    order = {r["doc_id"]: r["o"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'toxicity sample'), 1099511627776) AS o").collect()}
+    seen = [r for r in sorted(labels, key=lambda r: order[r["doc_id"]]) if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    for _ in range(3):
+        for r in seen:
+            at = sorted(set(toxicity.buckets(rows[r["doc_id"]]["text"]).tolist()))
+            w, b = {i: weight(i) for i in at}, -bias_z / step(bias_n)
+            g = logistic(sum(w.values()) + b) - r["toxic"]
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w[i]
+                n[i] += g * g
+            bias_z += g - (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / 0.3 * b
+            bias_n += g * g
+    for r in QUERIES["op8_toxicity"](spark, tables(documents=rows, labels=labels)).collect():
+        score = logistic(sum(weight(i) for i in set(toxicity.buckets(rows[r["doc_id"]]["text"]).tolist())) - bias_z / step(bias_n))
+        assert abs(r["score"] - score) < 1e-5 and r["predicted"] == (r["score"] >= 0.3)
+    assert {(r["score"], r["predicted"]) for r in QUERIES["op8_toxicity"](spark, tables(documents=rows)).collect()} == {(0.0, 0)}
+
+
+@needs_data
+def test_verdicts_follow_rules_and_trees(spark):
+    """op4's rows: counts and rules as a plain version has them, verdicts as the trees that the same labels give."""
+    texts, scratch = texts_of(spark), Scratch(spark, "t")
+    counts = scratch.table(quality.measure(spark.read.parquet(f"{SF}/documents.parquet")), "counts")
+    trees = quality.learn(counts, spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in QUERIES["op4_quality"](spark, SF).collect():
+        own = plain_statistics(texts[r["doc_id"]])
+        assert [r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == own
+        assert r["base_failed"] == (own[0] < 10 or 100 * own[4] > 20 * own[0])
+        row = counts.where(F.col("doc_id") == r["doc_id"]).select(*quality.COUNTS).first() if r["doc_id"] % 40 == 0 else None
+        if row is not None:
+            good = trees.probability(quality.features(np.array([list(row)], dtype=np.int64)))[0] >= quality.THRESHOLD
+            assert r["kept"] == (good and not r["base_failed"])
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 STRANGE = ["", "  ", "İstanbul Σίσυφος ΟΔΟΣ x́y don't I'M a b c​ <|endoftext|> it's<|startoftext|>q 日本 1234 ½ ǅ ﬁ z \x1c k\x85v naïve ŉ ĸ ẞ ß fußſ", "'s 'T a'RE_x__ 𝒳 \U0001f600 🏳️‍🌈", "soft­hyphen cöoperate", "<|x|> a<|endoftext|>b", "''' '''ll don'T", "a" * 5000]
