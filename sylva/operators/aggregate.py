@@ -63,7 +63,7 @@ def _expression(agg: Agg, node: Column, run: Column) -> Column:
     if func == "sum":
         return F.coalesce(F.sum(value), F.lit(0).cast("double" if agg.scalar == "float" else "bigint"))
     if func == "avg":
-        return F.avg(value) if agg.scalar == "float" else F.floor(F.sum(value) / F.count(value))
+        return F.avg(value) if agg.scalar == "float" else F.call_function("div", F.sum(value), F.nullif(F.count(value), F.lit(0)))
     if func in ("min", "max"):
         return F.min(value) if func == "min" else F.max(value)
     if func == "first":
@@ -86,7 +86,7 @@ def _typed(agg: Agg, e: Column) -> Column:
 def aggregate(nodes: DataFrame, context: str, aggs: list[Agg], strict: bool = True) -> DataFrame:
     """doc_id, ctx_pre and a column for each aggregate; a row for each instance of the context, also where nothing matches.
 
-    Without hits sum and count are 0, the others null. avg of int, depth and length rounds down to an integer. The context `/`
+    Without hits sum and count are 0, the others null. avg of int, depth and length is a whole number, cut towards 0. The context `/`
     is the document (ctx_pre 0). Contexts that lie within one another are aggregated each on its own.
     """
     ctx, paths = parse(context, strict), [parse(a.path, strict) for a in aggs]

@@ -236,12 +236,15 @@ def match(nodes: DataFrame, path: str | Path, scope: DataFrame | None = None, sc
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "pre", *([] if scope is None else ["ctx_pre"])])
 
 
-def match_all(nodes: DataFrame, paths: dict[str, str], strict: bool = True) -> DataFrame:
+def match_all(nodes: DataFrame, paths: dict[str, str | Path] | list[Path], strict: bool = True) -> DataFrame:
     """Many paths at once: (var, node columns), a row for each path a node is matched by.
 
+    paths: by the name that var gets, or the list that read_queries() makes of a file, where var is the path's text.
+
     All paths without predicates share one scan of nodes; the others add theirs.
     """
-    parsed = {var: parse(p, strict) for var, p in paths.items()}
+    named = paths if isinstance(paths, dict) else {p.text.strip(): p for p in paths}
+    parsed = {var: parse(p, strict) if isinstance(p, str) else p for var, p in named.items()}
     simple = {var: p for var, p in parsed.items() if not p.is_document and all(plain(s) for s in p.alternatives)}
     out = []
     if simple:

@@ -12,7 +12,9 @@ from sylva.operators import arrange as ar
 from sylva.operators import edit
 from sylva.operators.serialize import to_xml
 from sylva.plans.match import first_wins, match, match_all
-from sylva.sources import publish
+from sylva.plans.xpath import read_queries
+from sylva.session import scratch_path
+from sylva.sources import documents, publish
 from sylva.sources.shred import register_udtf, shred
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +61,7 @@ def _per_order(value: str, type_: str, empty: str = "NULL") -> str:
 query("agg_sum_float", _per_order("sum(CAST(l_quantity AS DECIMAL(18,2)))", "DOUBLE", "0"))(_one("sum", "float", "lineitem/quantity", 2))
 query("agg_sum_int", _per_order("sum(CAST(trunc(l_quantity) AS BIGINT))", "BIGINT", "0"))(_one("sum", "int", "lineitem/quantity"))
 query("agg_avg_float", _per_order("round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6)", "DOUBLE"))(_one("average", "float", "lineitem/price", 6))
-query("agg_avg_int", _per_order("floor(sum(CAST(trunc(l_quantity) AS BIGINT)) / count(*))", "BIGINT"))(_one("average", "int", "lineitem/quantity"))
+query("agg_avg_int", _per_order("sum(CAST(trunc(l_quantity) AS BIGINT)) // count(*)", "BIGINT"))(_one("average", "int", "lineitem/quantity"))
 query("agg_min", _per_order("min(CAST(l_extendedprice AS DECIMAL(18,2)))", "DOUBLE"))(_one("min", "float", "lineitem/price"))
 query("agg_max", _per_order("max(CAST(l_extendedprice AS DECIMAL(18,2)))", "DOUBLE"))(_one("max", "float", "lineitem/price"))
 query("agg_sum_text", _per_order("string_agg(q, ' ' ORDER BY k)", "VARCHAR", "''"))(_one("sum", "text", "lineitem/quantity"))
@@ -108,6 +110,15 @@ def agg_report_xml(spark: SparkSession, d: str) -> DataFrame:
     return ag.report_xml(ag.aggregate_report(publish.region_documents(spark, d), [ag.Context("/region", (ag.Agg("count", "text", "nation"), ag.Agg("last", "text", "nation/name")))]))
 
 
+@query("agg_based_int", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS ctx_pre, CAST(3 * c_custkey AS BIGINT) AS v FROM customer")
+def agg_based_int(spark: SparkSession, d: str) -> DataFrame:
+    """Each key in decimal, hexadecimal and octal digits."""
+    key = F.col("c_custkey")
+    texts = [key.cast("string"), F.concat(F.lit("0x"), F.hex(key.cast("long"))), F.concat(F.lit("0"), F.conv(key.cast("string"), 10, 8))]
+    nodes = publish.flat_documents(spark.read.parquet(f"{d}/customer.parquet"), key, publish.Leaf("keys", children=tuple(publish.Leaf("n", text=t) for t in texts)))
+    return ag.aggregate(nodes, "/", [ag.Agg("sum", "int", "/keys/n", "v")])
+
+
 # --- paths ------------------------------------------------------------------------------------------------------------
 
 
@@ -139,6 +150,7 @@ query("pred_position_then_attr", _lines(7, "p", "WHERE k = 2 AND l_returnflag =
 query("pred_chain", _lines(5, "q", "WHERE l_returnflag = 'A' AND l_partkey < 50"))(_path("/order/lineitem[@flag='A'][@part<50]/quantity/text()"))
 query("pred_last_step", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[text()>90000]", False))
 query("pred_and_or", _lines(5, "q", "WHERE l_returnflag = 'A' AND l_partkey < 50 OR l_returnflag = 'N' AND l_partkey > 150"))(_path("//lineitem[@flag='A' and @part<50 or @flag='N' and @part>150]/quantity/text()", False))
+query("pred_whole_text", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[.>90000]", False))
 query("pred_element", _lines(2, "l_partkey", "WHERE l_quantity = 7"))(_path("//lineitem[quantity=7]/@part", False))
 query("path_parent", _lines(2, "l_partkey", "WHERE l_quantity = 7"))(_path("//quantity[text()=7]/../@part", False))
 query("path_alternation", f"WITH {LINES} SELECT l_orderkey AS doc_id, {LINE_PRE.format(5)} AS pre, q AS value FROM l UNION ALL SELECT l_orderkey, {LINE_PRE.format(7)}, p FROM l")(_path("/order/lineitem/(quantity|price)/text()", False))
@@ -153,6 +165,13 @@ def path_many(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("var", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("path_file", f"WITH {LINES} SELECT '//lineitem/@flag' AS var, l_orderkey AS doc_id, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 2 UNION ALL SELECT '/order/lineitem[@flag=''R'']/price', l_orderkey, count(*) FROM l WHERE l_returnflag = 'R' GROUP BY 2")
+def path_file(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of a query file."""
+    found = match_all(publish.orders_documents(spark, d), read_queries("//lineitem/@flag\n\n/order/lineitem[@flag='R']/price\n"))
+    return found.groupBy("var", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("path_precedence", f"WITH {LINES} SELECT 'flags' AS var, l_orderkey AS doc_id, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 2 UNION ALL SELECT 'any', o_orderkey, 2 + count(l_orderkey) FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 2")
 def path_precedence(spark: SparkSession, d: str) -> DataFrame:
     found = first_wins(match_all(publish.orders_documents(spark, d), {"flags": "//@flag", "any": "//@*"}), {"flags": 0.0, "any": 1.0})
@@ -199,6 +218,25 @@ def sort_typed_key(spark: SparkSession, d: str) -> DataFrame:
     return ar.sort(nodes, "/nation", [ar.Elem("customer", ("@segment", "name/text()"))]).where("path = '/nation/customer/name/text()'").select("doc_id", "pre", "value")
 
 
+query("sort_first_path_wins", _sorted_sql("l_returnflag <> 'R'"))(_orders(lambda n: ar.sort(n, "/order", [ar.Elem("lineitem[@flag='R']"), ar.Elem("lineitem")], strict=False).where("path = '/order/lineitem/price/text()'").select("doc_id", "pre", "value")))
+query("sort_whole_document", _sorted_sql("p") + " UNION ALL SELECT o_orderkey, CAST(2 AS INTEGER), CAST(o_orderkey AS VARCHAR) FROM orders")(_orders(lambda n: ar.sort(n, "/", [ar.Elem("//lineitem", ("price/text()",))]).where("path in ('/order/lineitem/price/text()', '/order/@key')").select("doc_id", "pre", "value")))
+
+
+@query("sort_drops_the_rest", f"WITH {CUSTOMERS} SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(2 + 7 * count(c_custkey) AS BIGINT) AS n, CAST(0 AS BIGINT) AS names FROM nation LEFT JOIN c ON c_nationkey = n_nationkey GROUP BY 1")
+def sort_drops_the_rest(spark: SparkSession, d: str) -> DataFrame:
+    """What is no element of the context goes, but for the context's attributes."""
+    nodes = ar.sort(publish.customer_documents(spark, d), "/nation", [ar.Elem("customer", ("balance",))])
+    return nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("path").startswith("/nation/name"), 1)).alias("names"))
+
+
+@query("head_path_by_path", f"""WITH {CUSTOMERS} SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(2 + (k - 1) * 7 + 5 AS INTEGER) AS pre, c_name AS value FROM c WHERE k <= 2
+UNION ALL SELECT n_nationkey, CAST(2 + 7 * least(2, count(c_custkey)) + 2 AS INTEGER), n_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
+def head_path_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """Elements stand in the order of their paths, not of the document."""
+    nodes = ar.head(publish.customer_documents(spark, d), "/nation", [ar.Elem("customer", n=2), ar.Elem("name")])
+    return nodes.where("path in ('/nation/customer/name/text()', '/nation/name/text()')").select("doc_id", "pre", "value")
+
+
 def _cut(keep: Callable, **options):
     return _orders(lambda n: keep(n, "/order", [ar.Elem("lineitem", **options)]).where("path = '/order/lineitem/@part'").select("doc_id", "pre", "value"))
 
@@ -245,6 +283,32 @@ query("flatten_outer", SUMS + _counts(*ROOT, ("/order/quantity", 2, "ks", "a"),
 query("flatten_recursive", SUMS + _counts(*ROOT, ("/order/quantity", 2, "ks", "a"), ("/order/quantity/text()", 2, "NULL", "a"), ("/order/text()", 1, "NULL", "a")))(_orders(lambda n: _by_path(edit.flatten(n, ["//lineitem", "//price"], recursive=True))))
 
 
+PLACED = "doc_id", "pre", "last", "parent", "depth", "value"
+query("delete_values", f"WITH {LINES} SELECT l_orderkey AS doc_id, {LINE_PRE.format(7)} AS pre, {LINE_PRE.format(7)} AS last, {LINE_PRE.format(6)} AS parent, CAST(3 AS INTEGER) AS depth, p AS value FROM l WHERE k > 1")(_orders(lambda n: edit.delete(n, ["/order/lineitem[1]", "//quantity"]).where("path = '/order/lineitem/price/text()'").select(*PLACED)))
+query("flatten_values", f"WITH {LINES} SELECT l_orderkey AS doc_id, {LINE_PRE.format(7)} AS pre, {LINE_PRE.format(7)} AS last, CAST(1 AS INTEGER) AS parent, CAST(1 AS INTEGER) AS depth, p AS value FROM l UNION ALL SELECT l_orderkey, {LINE_PRE.format(5)}, {LINE_PRE.format(5)}, {LINE_PRE.format(4)}, 2, q FROM l")(_orders(lambda n: edit.flatten(n, ["//lineitem", "//price"], recursive=True).where("kind = 'text'").select(*PLACED)))
+query("roundtrip_values", f"WITH {LINES} SELECT l_orderkey AS doc_id, {LINE_PRE.format(7)} AS pre, {LINE_PRE.format(7)} AS last, {LINE_PRE.format(6)} AS parent, CAST(3 AS INTEGER) AS depth, p AS value FROM l")(_orders(lambda n: shred(to_xml(n), paths=["/order/lineitem/price/text()"]).where("path = '/order/lineitem/price/text()'").select(*PLACED)))
+
+
+@query("store_roundtrip", _lines(7, "p", "WHERE l_returnflag = 'R'"))
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A node table written in order of its paths, found to be one, and read again row group by row group."""
+    path = scratch_path(spark, "sylva-nodes")
+    documents.write_nodes(publish.orders_documents(spark, d), path)
+    return match(documents.read_documents(spark, path), "//lineitem[@flag='R']/price/text()").select("doc_id", "pre", "value")
+
+
+@query("read_files", "SELECT r_name AS name, CAST(count(n_nationkey) AS BIGINT) AS n, min(n_name) AS low FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def read_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document, written and read as XML."""
+    path = scratch_path(spark, "sylva-files")
+    to_xml(publish.region_documents(spark, d)).write.partitionBy("doc_id").text(path)
+    nodes = documents.read_documents(spark, path)
+    names = match(nodes, "/region/@name").select("doc_id", F.col("value").alias("name"))
+    found = ag.aggregate(nodes, "/region", [ag.Agg("count", "text", "nation", "n")])
+    low = match(nodes, "/region/nation/name/text()").groupBy("doc_id").agg(F.min("value").alias("low"))
+    return names.join(found, "doc_id").join(low, "doc_id", "left").select("name", "n", "low")
+
+
 @query("typed_extract", f"WITH {CUSTOMERS} SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(4 + (k - 1) * 7 + 5 AS INTEGER) AS pre, 'Customer#' AS t_prefix, CAST(regexp_extract(c_name, '^Customer#([0-9]+)$', 1) AS INTEGER) AS t_int, '' AS t_suffix FROM c")
 def typed_extract(spark: SparkSession, d: str) -> DataFrame:
     return edit.typed(publish.customer_documents(spark, d), "//customer/name:Customer#%i").where("t_int is not null").select("doc_id", "pre", "t_prefix", "t_int", "t_suffix")
@@ -271,6 +335,12 @@ def shred_udtf(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT t.doc_id, count(*) AS n FROM sylva_region_xml r, LATERAL sylva_shred(r.doc_id, r.xml) t GROUP BY t.doc_id")
 
 
+@query("html_elements", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<(p|li|h1|a)[ >]')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '<(p|li|h1|a)[ >]')")
+def html_elements(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))
+    return shred(pages, dialect="html").where("kind = 'element' AND tag IN ('p', 'li', 'h1', 'a')").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("html_pages_stat")
 def html_pages_stat(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))

@@ -11,32 +11,44 @@ from sylva.sources.shred import shred
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, path and text of whole files. Identifiers count the files in order of their paths, from 0."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    # only the names are numbered in one place; the driver holds them anyway to plan the scan
-    names = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"))
-    ids = {r["path"]: k for k, r in enumerate(sorted(names.collect()))}
-    numbered = spark.createDataFrame(list(ids.items()) or [("", -1)], "path string, doc_id long")
-    return files.join(numbered, "path").select("doc_id", "path", "text")
+    """doc_id, path and text of whole files. The identifier is a hash of the path, so it is the same in every run and nothing is
+    gathered to number the files."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return rows.select(F.xxhash64("path").bitwiseAND((1 << 63) - 1).alias("doc_id"), "path", "text")
 
 
 def detect(spark: SparkSession, path: str) -> str:
-    """nodes for a stored node table, html or xml for text, by the first bytes of the first file."""
-    first = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.substring("content", 1, 512).alias("head")).limit(1).collect()
-    if not first:
+    """nodes for a stored node table, html or xml for text, by the first 512 bytes of one of the files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.listFiles(where, True) if files.exists(where) else None
+    while found is not None and found.hasNext():
+        status = found.next()
+        if not status.getPath().getName().startswith(("_", ".")) and status.getLen():
+            break
+    else:
         raise SpecError(f"nothing at {path}")
-    head = bytes(first[0]["head"])
+    stream = files.open(status.getPath())
+    try:
+        head = bytes(stream.readNBytes(512))
+    finally:
+        stream.close()
     if head[:4] == b"PAR1":
         return "nodes"
     start = head.lstrip(b"\xef\xbb\xbf \t\r\n").lower()
     return "html" if start.startswith((b"<!doctype html", b"<html")) else "xml"
 
 
-def read_documents(spark: SparkSession, path: str, form: str = "auto", on_error: str = "fail", paths: list[str] | None = None) -> DataFrame:
-    """The node table of what lies at a path: a stored node table, XML files or HTML files."""
+def read_documents(spark: SparkSession, path: str, form: str = "auto", on_error: str = "fail", paths: list[str] | None = None, record: str | None = None) -> DataFrame:
+    """The node table of what lies at a path: a stored node table, XML files or HTML files.
+
+    record: an element of large files that is a document of its own; many tasks then read one file (read_records()).
+    """
     form = detect(spark, path) if form == "auto" else form
     if form == "nodes":
         return read_nodes(spark, path)
+    if record is not None:
+        return shred(read_records(spark, path, record), "xml", dialect=form, on_error=on_error, paths=paths)
     return shred(read_texts(spark, path), "text", dialect=form, on_error=on_error, paths=paths)
 
 
