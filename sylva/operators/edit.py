@@ -37,7 +37,7 @@ def select_subtrees(nodes: DataFrame, path: str, strict: bool = True) -> DataFra
         return nodes.withColumn("root_pre", F.lit(0))
     found = match(nodes, parsed).withColumn("root_pre", F.col("pre"))
     disjoint = len(parsed.alternatives) == 1 and fixed(parsed.steps)
-    return found.unionByName(within(found, nodes, disjoint, carry=["root_pre"]))
+    return within(found, nodes, disjoint, carry=["root_pre"], inclusive=True)
 
 
 def delete(nodes: DataFrame, paths: list[str], strict: bool = True) -> DataFrame:

@@ -75,12 +75,13 @@ def _assigned(both: DataFrame, disjoint: bool) -> DataFrame:
     return both.withColumn("_at", F.last("_outer", ignorenulls=True).over(order))
 
 
-def _inside() -> Column:
-    return F.col("_outer").isNull() & (F.col("pre") > F.col("_at.pre")) & (F.col("pre") <= F.col("_at.last"))
+def _inside(inclusive: bool = False) -> Column:
+    return F.col("_outer").isNull() & ((F.col("pre") > F.col("_at.pre")) | F.lit(inclusive)) & (F.col("pre") <= F.col("_at.last"))
 
 
-def within(outer: DataFrame, inner: DataFrame, disjoint: bool, condition: Column | None = None, carry: list[str] | None = None) -> DataFrame:
-    """inner's rows that lie within a row of outer (itself excluded), with outer's carried columns; a row for each such outer one."""
+def within(outer: DataFrame, inner: DataFrame, disjoint: bool, condition: Column | None = None, carry: list[str] | None = None, inclusive: bool = False) -> DataFrame:
+    """inner's rows that lie within a row of outer, with outer's carried columns; a row for each such outer one. inclusive: an
+    outer node lies within itself."""
     carry = SCOPE if carry is None else carry
     held = ["pre", "last", "path", *carry]
     repeated = not disjoint and bool(carry)  # one node may have been reached from several contexts
@@ -90,7 +91,7 @@ def within(outer: DataFrame, inner: DataFrame, disjoint: bool, condition: Column
     own = [c for c in inner.columns if c not in ("doc_id", "pre", "depth")]
     marks = outer.select("doc_id", "pre", F.col("depth").alias("_depth"), F.struct(*[F.col(c).alias(c) for c in held]).alias("_outer"), *[F.lit(None).cast(inner.schema[c].dataType).alias(f"_{c}") for c in own])
     rows = inner.select("doc_id", "pre", F.col("depth").alias("_depth"), F.lit(None).cast(marks.schema["_outer"].dataType).alias("_outer"), *[F.col(c).alias(f"_{c}") for c in own])
-    found = _assigned(rows.unionByName(marks), disjoint).where(_inside())
+    found = _assigned(rows.unionByName(marks), disjoint).where(_inside(inclusive))
     found = found.select(*[F.col(c if c in ("doc_id", "pre") else f"_{c}").alias(c) for c in inner.columns], "_at")
     if repeated:
         found = found.withColumn("_c", F.explode("_at._carried"))
@@ -154,6 +155,16 @@ def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...],
             return found
     leaves = list(dict.fromkeys(_leaves(tests)))
     number = {p: k for k, p in enumerate(leaves)}
+    if all(len(p.target) == 1 and p.target[0][0] == "@" or p.target == ("text()",) for p in leaves):
+        # attributes and text know their owner: those that pass a test are grouped by it
+        below = {p: F.col("path").rlike(f"{_below(p.target, True)}$") if found is not None or "*" in p.target[0] else on_path(run, re.escape("/" + p.target[0])) for p in leaves}
+        flags = [(below[p] & _test(p, F.col("value"))).alias(f"_p{number[p]}") for p in leaves]
+        held = nodes.where(reduce(lambda a, b: a | b, below.values())).select("doc_id", F.col("parent").alias("_owner"), *flags).where(reduce(lambda a, b: a | b, [F.col(f"_p{k}") for k in number.values()]))
+        if len(leaves) > 1:
+            held = held.groupBy("doc_id", "_owner").agg(*[F.bool_or(f"_p{k}").alias(f"_p{k}") for k in number.values()])
+        held = held.where(reduce(lambda a, b: a & b, [_holds(p, number) for p in tests])).select(F.col("doc_id").alias("_d"), "_owner")
+        found = nodes.where(here) if found is None else found
+        return found.join(held, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_owner")), "left_semi")
     whole = [p for p in leaves if p.target[-1] == "."]  # tests of an element's whole text gather it first
     below = {p: _below(p.target, p.kind != "exists") for p in leaves if p not in whole}
     spans = {p: "".join("/" + re.escape(n) for n in p.target[:-1]) for p in whole}
@@ -193,25 +204,28 @@ def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, di
     """Matches of steps from the document, or from each node of scope (which has SCOPE)."""
     carry = [] if scope is None else SCOPE
     found, at_root = scope, scope is None
+    trail: tuple[Step, ...] | None = () if scope is None else None  # the steps so far, where they say all about the label path
     while steps:
         if steps[0].axis == "parent":
             up = found.select(F.col("doc_id").alias("_d"), F.col("parent").alias("_up"), *carry).distinct()
             found = nodes.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_up"))).select(*nodes.columns, *carry)
-            steps, at_root = steps[1:], False
+            steps, at_root, trail = steps[1:], False, None
             continue
         n = next((k + 1 for k, s in enumerate(steps) if s.predicates or k + 1 < len(steps) and steps[k + 1].axis == "parent"), len(steps))
         run, steps = steps[:n], steps[n:]
         real = tuple(s for s in run if s.axis != "self")
         outer_disjoint = disjoint
         disjoint &= fixed(run)
+        trail = None if trail is None else trail + run
+        reached = nodes.where(on_path(trail)) if trail else nodes.where(_kind(real[-1])) if real else nodes
         if at_root:
             found, at_root = _filtered(nodes, None, run, disjoint), False
             continue
         if len(real) == 1 and real[0].axis == "child":
             up = found.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_up"), *carry)
-            found = nodes.where(_kind(real[0])).join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_up"))).select(*nodes.columns, *carry)
+            found = reached.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_up"))).select(*nodes.columns, *carry)
         elif real:
-            found = within(found, nodes.where(_kind(real[-1])), outer_disjoint, below_outer(run), carry)
+            found = within(found, reached, outer_disjoint, below_outer(run), carry)
             if not outer_disjoint:
                 found = found.dropDuplicates(["doc_id", "pre", *carry[:1]])
         found = _filtered(nodes, found, run, disjoint)
