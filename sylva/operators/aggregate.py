@@ -23,13 +23,15 @@ class Agg:
     """func: sum, min, max, average or avg, first, last, id#n or choice#n, count, count_text_runs.
 
     scalar: int, float, text, depth (of the enclosing element, the root has 0) or length (bytes of a text run). path is
-    relative to the context. Only text runs have values; attributes and CDATA have none. count counts matched nodes.
+    relative to the context. Only text runs have values; attributes and CDATA have none. count counts matched nodes. tag names
+    the element of an XML report.
     """
 
     func: str
     scalar: str
     path: str
     name: str | None = None
+    tag: str | None = None
 
     def parts(self) -> tuple[str, int]:
         m = re.fullmatch(r"(?:id|choice)#(\d+)", self.func)
@@ -151,6 +153,43 @@ def _one_pass(nodes: DataFrame, ctx: Path, aggs: list[Agg], paths: list[Path]) -
 class Context:
     path: str
     aggs: tuple[Agg, ...]
+    tag: str | None = None
+
+
+def read_commands(text: str) -> tuple[str | None, list[Context]]:
+    """The tag of the whole report, if given, and the contexts of a command file: words with blanks or line ends between them.
+
+    `-t tag` at the start names the report; `-c path` opens a context and `-a path function scalar` adds an aggregate to it, each
+    with `-t tag` after it if its element is to have a name. Aggregates before any context belong to the document.
+    """
+    words, out_tag, contexts = text.split(), None, []
+
+    def take(n: int) -> list[str]:
+        taken = [words.pop(0) for _ in range(min(n, len(words)))]
+        if len(taken) < n or any(w.startswith("-") for w in taken):
+            raise SpecError(f"a command needs {n} words, not {taken}")
+        return taken
+
+    def tag() -> str | None:
+        if words and words[0] in ("-t", "-tag"):
+            words.pop(0)
+            return take(1)[0]
+        return None
+
+    out_tag = tag()
+    while words:
+        option = words.pop(0)
+        if option in ("-c", "-context"):
+            contexts.append(Context(*take(1), (), tag()))
+        elif option in ("-a", "-aggregate"):
+            path, func, kind = take(3)
+            context = contexts.pop() if contexts else Context("/", ())
+            contexts.append(Context(context.path, (*context.aggs, Agg(func, kind, path, tag=tag())), context.tag))
+        else:
+            raise SpecError(f"no command {option!r}")
+    if bare := [c.path for c in contexts if not c.aggs]:
+        raise SpecError(f"contexts without an aggregate: {bare}")
+    return out_tag, contexts
 
 
 def aggregate_report(nodes: DataFrame, contexts: list[Context], strict: bool = True) -> DataFrame:
@@ -160,7 +199,7 @@ def aggregate_report(nodes: DataFrame, contexts: list[Context], strict: bool = T
     """
     out = []
     for k, c in enumerate(contexts):
-        named = [Agg(a.func, a.scalar, a.path, f"a{i}") for i, a in enumerate(c.aggs)]
+        named = [Agg(a.func, a.scalar, a.path, f"a{i}", a.tag) for i, a in enumerate(c.aggs)]
         wide = aggregate(nodes, c.path, named, strict)
         shown = [F.struct(F.lit(i).alias("agg_ix"), F.lit(a.func).alias("agg_type"), F.lit(a.path).alias("agg_path"), (F.format_string("%.6f", f"a{i}") if _type(a) == "double" else F.col(f"a{i}").cast("string")).alias("value")) for i, a in enumerate(c.aggs)]
         shown = [F.when(F.col(f"a{i}").isNull(), s.withField("value", F.lit(None).cast("string"))).otherwise(s) for i, s in enumerate(shown)]
@@ -169,13 +208,21 @@ def aggregate_report(nodes: DataFrame, contexts: list[Context], strict: bool = T
     return reduce(DataFrame.unionByName, out)
 
 
-def report_xml(report: DataFrame, out_tag: str = "aggregates", context_tag: str = "context", aggregate_tag: str = "aggregate") -> DataFrame:
-    """doc_id and xml: the report of each document as one element with a child for each context instance."""
+def report_xml(report: DataFrame, out_tag: str = "aggregates", context_tag: str = "context", aggregate_tag: str = "aggregate", contexts: list[Context] | None = None) -> DataFrame:
+    """doc_id and xml: the report of each document as one element with a child for each context instance.
+
+    contexts: those of aggregate_report(), for the tags that they and their aggregates name; the others get the tags given here.
+    """
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    one = F.concat(F.lit(f'<{aggregate_tag} aggtype="'), F.col("agg_type"), F.lit('" path="'), escape(F.col("agg_path")), F.lit('">'), escape(F.coalesce("value", F.lit(""))), F.lit(f"</{aggregate_tag}>"))
+    around, each = F.lit(context_tag), F.lit(aggregate_tag)
+    if contexts:
+        around = F.element_at(F.array(*[F.lit(c.tag or context_tag) for c in contexts]), F.col("ctx_ix") + 1)
+        tags = F.array(*[F.array(*[F.lit(a.tag or aggregate_tag) for a in c.aggs]) for c in contexts])
+        each = F.element_at(F.element_at(tags, F.col("ctx_ix") + 1), F.col("agg_ix") + 1)
+    one = F.concat(F.lit("<"), each, F.lit(' aggtype="'), F.col("agg_type"), F.lit('" path="'), escape(F.col("agg_path")), F.lit('">'), escape(F.coalesce("value", F.lit(""))), F.lit("</"), each, F.lit(">"))
     gather = lambda parts: F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["xml"]), "")
     inner = report.groupBy("doc_id", "ctx_ix", "ctx_pre", "ctx_path").agg(gather(F.struct("agg_ix", one.alias("xml"))).alias("xml"))
-    ctx = F.concat(F.lit(f'<{context_tag} path="'), escape(F.col("ctx_path")), F.lit('">'), F.col("xml"), F.lit(f"</{context_tag}>"))
+    ctx = F.concat(F.lit("<"), around, F.lit(' path="'), escape(F.col("ctx_path")), F.lit('">'), F.col("xml"), F.lit("</"), around, F.lit(">"))
     outer = inner.groupBy("doc_id").agg(gather(F.struct("ctx_ix", "ctx_pre", ctx.alias("xml"))).alias("xml"))
     return outer.select("doc_id", F.concat(F.lit(f"<{out_tag}>"), "xml", F.lit(f"</{out_tag}>")).alias("xml"))
 

@@ -110,6 +110,12 @@ def agg_report_xml(spark: SparkSession, d: str) -> DataFrame:
     return ag.report_xml(ag.aggregate_report(publish.region_documents(spark, d), [ag.Context("/region", (ag.Agg("count", "text", "nation"), ag.Agg("last", "text", "nation/name")))]))
 
 
+@query("agg_report_tags", """SELECT CAST(r_regionkey AS BIGINT) AS doc_id, '<report><region path="/region"><nations aggtype="count" path="nation">' || count(n_nationkey) || '</nations><aggregate aggtype="last" path="nation/name">' || coalesce(arg_max(n_name, n_nationkey), '') || '</aggregate></region></report>' AS xml FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+def agg_report_tags(spark: SparkSession, d: str) -> DataFrame:
+    out_tag, contexts = ag.read_commands("-t report -c /region -t region -a nation count text -t nations\n-a nation/name last text")
+    return ag.report_xml(ag.aggregate_report(publish.region_documents(spark, d), contexts), out_tag, contexts=contexts)
+
+
 @query("agg_based_int", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS ctx_pre, CAST(3 * c_custkey AS BIGINT) AS v FROM customer")
 def agg_based_int(spark: SparkSession, d: str) -> DataFrame:
     """Each key in decimal, hexadecimal and octal digits."""
@@ -335,6 +341,13 @@ def shred_udtf(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT t.doc_id, count(*) AS n FROM sylva_region_xml r, LATERAL sylva_shred(r.doc_id, r.xml) t GROUP BY t.doc_id")
 
 
+@query("shred_lenient", f"WITH {LINES} SELECT l_orderkey AS doc_id, l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1, 2")
+def shred_lenient(spark: SparkSession, d: str) -> DataFrame:
+    loose = to_xml(publish.orders_documents(spark, d)).withColumn("xml", F.regexp_replace(F.regexp_replace("xml", '="(\\w+)"', " = $1"), "</price>", "</p>"))
+    flags = match(shred(loose, dialect="lenient", paths=["/order/lineitem/@flag"]), "/order/lineitem/@flag")
+    return flags.groupBy("doc_id", F.col("value").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("html_elements", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<(p|li|h1|a)[ >]')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '<(p|li|h1|a)[ >]')")
 def html_elements(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -162,6 +163,40 @@ def shred_html(doc_id: int | None, text: str, keep: Callable[[str], bool] | None
     return builder.finish(), None
 
 
+_NAME = r"""[^\s/@()<>='"]++"""
+_ATTRIBUTE = rf"""({_NAME})\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?:[^\s>/"'<]|/(?!>))++))"""
+#: A comment or instruction, a document type, CDATA, an end tag or a start tag.
+_TOKEN = re.compile(rf"""<!--.*?-->|<\?.*?\?>|<!DOCTYPE(?:[^\[>]*+\[[^\]]*+\])?[^>]*+>|<!\[CDATA\[(?P<cdata>.*?)\]\]>|(?P<end></[^>]*+>)|<(?P<start>{_NAME})(?P<at>(?:\s*+{_ATTRIBUTE})*+)\s*+(?P<empty>/?)>""", re.S)
+_ONE = re.compile(_ATTRIBUTE)
+
+
+def shred_lenient(doc_id: int | None, text: str, keep: Callable[[str], bool] | None = None) -> tuple[list[list], str | None]:
+    """As shred_xml(), for what is not quite XML: attribute values need no quotes, an end tag closes the innermost element whatever
+    its name, elements may stay open, and unknown entities stand for themselves. Of attributes with one name the first counts.
+    Errors are markup that is neither, and end tags where nothing is open."""
+    builder, at = Builder(doc_id, keep), 0
+    while (mark := text.find("<", at)) >= 0:
+        builder.text(unescape(text[at:mark]))
+        token = _TOKEN.match(text, mark)
+        if token is None or token["end"] and not builder.open:
+            return builder.finish(), f"character {mark}: {'not well-formed' if token is None else 'nothing to close'}"
+        if token["start"]:
+            named: dict[str, str] = {}
+            for name, *values in _ONE.findall(token["at"]):
+                named.setdefault(name, unescape("".join(values)))
+            builder.start(token["start"], named.items())
+        if token["end"] or token["empty"]:
+            builder.end()
+        elif token["cdata"] is not None:
+            builder.cdata(token["cdata"])
+        at = token.end()
+    builder.text(unescape(text[at:]))
+    return builder.finish(), None
+
+
+SHREDDERS = {"xml": shred_xml, "lenient": shred_lenient, "html": shred_html}
+
+
 def reachable(paths: list[str]) -> str:
     """A pattern of the label paths that the given paths, and the nodes below their matches, can be on."""
     parts = []
@@ -189,17 +224,18 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 def shred(docs: DataFrame, text: str = "xml", doc_id: str = "doc_id", dialect: str = "xml", on_error: str = "fail", paths: list[str] | None = None) -> DataFrame:
     """The node table of the documents in a text column.
 
+    dialect: xml, lenient (XML with loose ends, see shred_lenient()) or html.
     on_error: fail, partial (keep what was read before the error) or drop (leave the document out). Null texts give no rows.
     paths: all that will be asked of the result; other rows may be left out. Positions are counted before that.
     """
-    if dialect not in ("xml", "html") or on_error not in ("fail", "partial", "drop"):
-        raise SpecError("dialect is xml or html, on_error fail, partial or drop")
+    if dialect not in SHREDDERS or on_error not in ("fail", "partial", "drop"):
+        raise SpecError("dialect is xml, lenient or html, on_error fail, partial or drop")
     ready(docs.sparkSession)
     wanted = reachable(paths) if paths else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = re.compile(f"(?:{wanted})").fullmatch if wanted else None
-        parse_one = shred_xml if dialect == "xml" else shred_html
+        parse_one = SHREDDERS[dialect]
         for batch in batches:
             rows: list[list] = []
             for ident, body in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):

@@ -201,6 +201,28 @@ def test_malformed(spark):
     assert issubclass(MalformedDocumentError, ValueError)
 
 
+def test_lenient(spark):
+    texts = ["<!DOCTYPE a [<!ELEMENT a ANY>]><?p x?><a k=1 l = 'x>y' k=2 m=u/v><b>1 &lt; 2 &x;</c><d/><!-- <z> --><e>t", "<a></a></a>", "<a k>", "x < y", BIB, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, xml string")
+    made = {r["doc_id"]: r["xml"] for r in to_xml(shred(docs, dialect="lenient", on_error="drop")).collect()}
+    assert made.keys() == {0, 4}
+    assert made[0] == '<a k="1" l="x&gt;y" m="u/v"><b>1 &lt; 2 &amp;x;</b><d/><e>t</e></a>'
+    assert made[4] == xml(of(spark, BIB))
+    with pytest.raises(Exception, match="nothing to close"):
+        shred(docs.where("doc_id = 1"), dialect="lenient").count()
+
+
+def test_report_tags(spark):
+    out_tag, contexts = ag.read_commands("-t out -a //n sum int -c /r/g -t group -a n sum float -t total\n-a m first text")
+    assert contexts == [ag.Context("/", (ag.Agg("sum", "int", "//n"),)), ag.Context("/r/g", (ag.Agg("sum", "float", "n", tag="total"), ag.Agg("first", "text", "m")), "group")]
+    n = of(spark, "<r><g><n>1</n><m>q</m></g></r>")
+    made = ag.report_xml(ag.aggregate_report(n, contexts), out_tag, contexts=contexts).collect()[0]["xml"]
+    assert made == '<out><context path="/"><aggregate aggtype="sum" path="//n">1</aggregate></context><group path="/r/g"><total aggtype="sum" path="n">1.000000</total><aggregate aggtype="first" path="m">q</aggregate></group></out>'
+    for bad in ("-c", "-c /a", "-a x sum", "-a x sum -t y", "-x", "-c /a -t -a n sum int"):
+        with pytest.raises(SpecError):
+            ag.read_commands(bad)
+
+
 def test_path_set_push_down(spark):
     text = "<a k='1'><b><c>1</c><d>2</d></b><e><c>3</c></e></a>"
     docs = spark.createDataFrame([(0, text)], "doc_id long, xml string")
