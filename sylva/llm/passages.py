@@ -126,6 +126,8 @@ def chain(at: np.ndarray, pos: np.ndarray) -> list[list[int]]:
     score(i) + GAP * (at_i + pos_i) + SEED - GAP * (at_j + pos_j). So the best i is a prefix maximum over positions in the
     document, which the Fenwick tree keeps while matches come in order of the anchor's positions.
     """
+    if len(at) == 1:
+        return [[0]]
     order = np.lexsort((-pos, at))
     if len(order) > 1:
         a, b = at[order], pos[order]
@@ -191,15 +193,19 @@ def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reach(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, bool]:
     """How far two sequences go on alike from their starts, the words that match, and whether the shorter one ended first: +1 a
     match, -2 a mismatch, until the score falls `drop` below its best."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0, 0, True
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -2))
-    ends = np.flatnonzero(np.maximum.accumulate(score) - score > drop)
-    score = score[: ends[0]] if len(ends) else score
-    k = int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
-    return k, int(same[:k].sum()), not len(ends)
+    best, score, matched, k, same = -2, 0, 0, 0, 0
+    for place, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=False), 1):
+        if x == y:
+            score, matched = score + 1, matched + 1
+        else:
+            score -= 2
+        if score > best:
+            best = score
+            if score > 0:
+                k, same = place, matched
+        elif best - score > drop:
+            return k, same, False
+    return k, same, True
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -253,6 +259,10 @@ def alike(a: np.ndarray, b: np.ndarray, at: np.ndarray, pos: np.ndarray) -> list
     split at the gap that lacks the most matching words, and so on.
     """
     known: dict[tuple[int, int], int] = {}
+    if len(at) == 1:  # nothing to cut; most chains are a seed that two texts share by chance
+        found = align(a, b, at, pos, known)
+        size = found[1] - found[0]
+        return [found] if size >= STRETCH and found[4] >= IDENTITY * size else []
     gaps = np.column_stack([np.diff(at), np.diff(pos)]) - K
     for k in np.flatnonzero((gaps > 0).all(axis=1)):
         x, y = int(at[k + 1]), int(pos[k + 1])
