@@ -1,6 +1,7 @@
 """Token ids in sorted-string-table shards.
 
-A shard holds documents in ascending order of identifier. It is a row of sections, each ended by a NUL byte:
+A shard is a file of documents in ascending order of identifier, of bounded size but for its last document. It consists of
+sections, each ended by a NUL byte:
 
     block ...   entries: varints (bytes shared with the key before, further key bytes, value bytes), key bytes, value; crc32
     index       for each block: first key, offset, length, documents and ids before it
@@ -33,8 +34,10 @@ BLOCK_BYTES = 64 << 10
 SHARD_TEXT_BYTES = 24 << 20
 END_ID = 2
 MAGIC = b"SYLSST1\0"
-FOOTER = struct.Struct("<QQQQQQIB8s")
+FOOTER = struct.Struct("<QQQQQQQB8s")
 BITS_A_KEY, PROBES = 10, 7
+#: Shards that a task numbers at most; the number of the task goes above these bits.
+SHARD_BITS = 32
 
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
@@ -293,7 +296,9 @@ def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int
     """Writes the ids of every row's whole text (doc_id, text) and returns the folder of shards.
 
     Shards are ranges of doc_id, null first; their file names and numbers ascend with it. Rows that share an identifier may
-    lie in neighbouring shards, so an identifier with very many rows is no single task's work.
+    lie in neighbouring shards, so an identifier with very many rows is no single task's work. Tasks get ranges of about
+    shard_bytes of text by samples of rows; one that gets more, where long texts stand close together, starts a further shard
+    whenever the stored ids reach shard_bytes. Null texts are stored as empty ones; no rows in, no documents out.
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -301,21 +306,28 @@ def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
+    def whole(sections: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"\0".join(sections)], pa.binary())], names=["bytes"])
+
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         end = np.array([end_id], dtype=f"<u{words.width}").tobytes()
-        table = TableWriter(TaskContext.get().partitionId(), words.width)
+        number = TaskContext.get().partitionId() << SHARD_BITS
+        table, sections = TableWriter(number, words.width), []
         for batch in slices(batches, 2000):
-            values = words.encode(as_bytes(batch, "text"))
-            sections = [s for doc_id, v in zip(batch["doc_id"].to_pylist(), values, strict=True) for s in table.add(key_of(doc_id), v + end)]
-            yield pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], names=["bytes"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(table.finish()), pa.binary())], names=["bytes"])
-
-    write_binary(dealt.mapInArrow(make, "bytes binary"), scratch.path(name))
+            for doc_id, v in zip(batch["doc_id"].to_pylist(), words.encode(as_bytes(batch, "text")), strict=True):
+                if table.offset >= shard_bytes:
+                    yield whole([*sections, *table.finish()])
+                    number += 1
+                    table, sections = TableWriter(number, words.width), []
+                sections += table.add(key_of(doc_id), v + end)
+        yield whole([*sections, *table.finish()])
+
+    write_binary(dealt.mapInArrow(make, "bytes binary"), scratch.path(name), rows_a_file=1)
     return scratch.path(name)
 
 
-ROWS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+ROWS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -335,7 +347,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
 
-    return read_binary(spark, path).select("content").mapInArrow(parse, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_binary(spark, path).select("content").mapInArrow(parse, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,34 @@ def test_tokens_of_all_documents(spark):
         start += len(ids)
 
 
+def test_long_texts_that_stand_close_make_more_shards(spark, tables):
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from .conftest import doc
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(8_000 if 100 <= k < 130 else 5)) for k in range(2_000)]
+    scratch, path = Scratch(spark, "close"), str(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{tables(documents=[doc(k, t) for k, t in enumerate(texts)])}/documents.parquet")
+    folder = tokens.write_shards(docs, scratch, path, shard_bytes=200_000)[7:]
+    whole = Tokenizer.from_file(path)
+    ids = [np.array([*whole.encode(t, add_special_tokens=False).ids, 2], dtype="<u2") for t in texts]
+    longest = max(map(len, ids)) * 2
+    shards = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    assert max(os.path.getsize(f"{folder}/{f}") for f in shards) < 200_000 + tokens.BLOCK_BYTES + 2 * longest
+    assert len({f.split("-")[1] for f in shards}) < len(shards)  # some task made several
+    stored, numbers = [], []
+    for f in shards:
+        with open(f"{folder}/{f}", "rb") as file:
+            table = tokens.Table.of(file.read())
+        stored += [(tokens.id_of(k), v) for k, _, v in table]
+        numbers.append(table.shard)
+    assert stored == [(k, v.tobytes()) for k, v in enumerate(ids)] and numbers == sorted(set(numbers))
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------------
 
 
