@@ -14,11 +14,13 @@ the filter, a binary search of the index and one block.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ class WordEncoder:
     its model in one call; any other chunk goes to the tokenizer as it is.
     """
 
-    PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
+    PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
     SPECIAL = "<|"
 
     def __init__(self, path: str, room: int = 250_000):
@@ -67,7 +69,7 @@ class WordEncoder:
         for token, k in self.whole.get_vocab(with_added_tokens=False).items():
             self.ends[k] = token.endswith("</w>")
         self.width = 2 if size <= 1 << 16 else 4
-        self.room, self.chunks, self.parts = room, {}, {}
+        self.room, self.chunks, self.parts = room, {}, {"\n": b""}  # a line end stands for no ids
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}  # bytes as the model's characters
@@ -93,36 +95,36 @@ class WordEncoder:
 
     def _new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         plain, out = [], {}
-        for c in chunks:
-            s = c.decode()
+        for c, s in zip(chunks, b"\n".join(chunks).decode().split("\n"), strict=True) if chunks else []:
             if self.SPECIAL not in s and self.PLAIN.fullmatch(s):
                 plain.append((c, s))
             else:
                 out[c] = self._pack(self.whole.encode(s, add_special_tokens=False).ids)
         pieces = self.split.findall("\n".join(s for _, s in plain).lower())
-        own = self._parts([p for p in dict.fromkeys(pieces) if p != "\n" and p not in self.parts])
+        own = self._parts([p for p in dict.fromkeys(pieces) if p not in self.parts])
         if len(self.parts) + len(own) <= self.room:
             self.parts |= own
-        held: list[bytes] = []
-        k = 0
-        for p in [*pieces, "\n"] if plain else []:
-            if p == "\n":
-                out[plain[k][0]] = b"".join(held)
-                held, k = [], k + 1
-            else:
-                held.append(self.parts[p] if p in self.parts else own[p])
+            parts = self.parts
+        else:
+            parts = self.parts | own
+        ids = [*map(parts.__getitem__, pieces)]
+        # lengths of 0 tell where chunks end
+        ends = np.cumsum(lengths := np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        stops = [*ends[lengths == 0].tolist(), *ends[-1:].tolist()]
+        joined = b"".join(ids)
+        out |= {c: joined[low:high] for (c, _), low, high in zip(plain, [0, *stops], stops, strict=False)}
         return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as packed integers (null: as of an empty text)."""
         cut = [(t or b"").split() for t in texts]
         known = self.chunks
-        new = self._new([c for c in dict.fromkeys(c for words in cut for c in words) if c not in known])
+        new = self._new([c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in known])
         if len(known) + len(new) <= self.room:
             known |= new
-            return [b"".join(map(known.__getitem__, words)) for words in cut]
-        get = lambda c: known[c] if c in known else new[c]
-        return [b"".join(map(get, words)) for words in cut]
+        else:
+            known = known | new  # for these texts alone
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 @cache
