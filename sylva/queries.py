@@ -156,7 +156,7 @@ query("pred_position_then_attr", _lines(7, "p", "WHERE k = 2 AND l_returnflag =
 query("pred_chain", _lines(5, "q", "WHERE l_returnflag = 'A' AND l_partkey < 50"))(_path("/order/lineitem[@flag='A'][@part<50]/quantity/text()"))
 query("pred_last_step", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[text()>90000]", False))
 query("pred_and_or", _lines(5, "q", "WHERE l_returnflag = 'A' AND l_partkey < 50 OR l_returnflag = 'N' AND l_partkey > 150"))(_path("//lineitem[@flag='A' and @part<50 or @flag='N' and @part>150]/quantity/text()", False))
-query("pred_whole_text", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[.>90000]", False))
+query("pred_whole_text", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[.>90000.0]", False))
 query("pred_element", _lines(2, "l_partkey", "WHERE l_quantity = 7"))(_path("//lineitem[quantity=7]/@part", False))
 query("path_parent", _lines(2, "l_partkey", "WHERE l_quantity = 7"))(_path("//quantity[text()=7]/../@part", False))
 query("path_alternation", f"WITH {LINES} SELECT l_orderkey AS doc_id, {LINE_PRE.format(5)} AS pre, q AS value FROM l UNION ALL SELECT l_orderkey, {LINE_PRE.format(7)}, p FROM l")(_path("/order/lineitem/(quantity|price)/text()", False))
