@@ -154,7 +154,7 @@ query("pred_position", _lines(2, "l_partkey", "WHERE k = 2"))(_path("/order/line
 query("pred_star_position", _lines(2, "l_partkey", "WHERE k = 1"))(_path("/order/*[1]/@part"))
 query("pred_position_then_attr", _lines(7, "p", "WHERE k = 2 AND l_returnflag = 'R'"))(_path("/order/lineitem[2][@flag='R']/price/text()"))
 query("pred_chain", _lines(5, "q", "WHERE l_returnflag = 'A' AND l_partkey < 50"))(_path("/order/lineitem[@flag='A'][@part<50]/quantity/text()"))
-query("pred_last_step", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[text()>90000]", False))
+query("pred_last_step", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[text()>90000.0]", False))
 query("pred_and_or", _lines(5, "q", "WHERE l_returnflag = 'A' AND l_partkey < 50 OR l_returnflag = 'N' AND l_partkey > 150"))(_path("//lineitem[@flag='A' and @part<50 or @flag='N' and @part>150]/quantity/text()", False))
 query("pred_whole_text", _lines(6, "NULL", "WHERE l_extendedprice > 90000"))(_path("//price[.>90000.0]", False))
 query("pred_element", _lines(2, "l_partkey", "WHERE l_quantity = 7"))(_path("//lineitem[quantity=7]/@part", False))
