@@ -8,6 +8,7 @@ document is made with a window and an explode, and never gathered into one row.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,12 +29,12 @@ class Leaf:
         return 1 + len(self.attributes) + (self.text is not None) + sum(c.size() for c in self.children)
 
 
-def _nodes(leaf: Leaf, at: Column, parent: Column, depth: int, path: str, sib: Column, nth: Column, last: Column | None = None) -> list[Column]:
-    """Structs of the leaf's rows, its own at position `at`."""
+def _nodes(leaf: Leaf, at: Column, parent: Column, depth: int, path: str, sib: Column, nth: Column, last: Column | None = None) -> list[dict[str, Column]]:
+    """The leaf's rows by column, its own at position `at`."""
 
-    def row(pre, last, parent, kind, tag, path, sib, nth, value) -> Column:
+    def row(pre, last, parent, kind, tag, path, sib, nth, value) -> dict[str, Column]:
         cast = lambda c, t: (F.lit(c) if not isinstance(c, Column) else c).cast(t)
-        return F.struct(cast(pre, "int").alias("pre"), cast(last, "int").alias("last"), cast(parent, "int").alias("parent"), F.lit(depth).alias("depth"), F.lit(kind).alias("kind"), cast(tag, "string").alias("tag"), F.lit(path).alias("path"), cast(sib, "int").alias("sib"), cast(nth, "int").alias("nth"), cast(value, "string").alias("value"))
+        return {"pre": cast(pre, "int"), "last": cast(last, "int"), "parent": cast(parent, "int"), "depth": F.lit(depth), "kind": F.lit(kind), "tag": cast(tag, "string"), "path": F.lit(path), "sib": cast(sib, "int"), "nth": cast(nth, "int"), "value": cast(value, "string")}
 
     own = f"{path}/{leaf.tag}"
     out = [row(at, at + (leaf.size() - 1) if last is None else last, parent, ELEMENT, leaf.tag, own, sib, nth, None)]
@@ -52,8 +53,17 @@ def _nodes(leaf: Leaf, at: Column, parent: Column, depth: int, path: str, sib: C
     return out
 
 
-def _exploded(df: DataFrame, doc_id: Column, nodes: list[Column]) -> DataFrame:
-    rows = df.select(doc_id.cast("bigint").alias("doc_id"), F.explode(F.array(*nodes)).alias("n")).select("doc_id", "n.*")
+def _exploded(df: DataFrame, doc_id: Column, nodes: list[dict[str, Column]], top: int | None = None) -> DataFrame:
+    """A row of df becomes its nodes; with top, rows of roots (_top) become the first so many and others the rest.
+
+    Only a number is exploded and the columns are chosen by it, so what is not asked for is never made, and tests of label paths
+    become tests of that number.
+    """
+    numbers = lambda a, b: F.array(*[F.lit(k) for k in range(a, b)])
+    of = numbers(0, len(nodes)) if top is None else F.when(F.col("_top"), numbers(0, top)).otherwise(numbers(top, len(nodes)))
+    rows = df.withColumn("_n", F.explode(of))
+    chosen = lambda c: reduce(lambda out, k: (F if out is None else out).when(F.col("_n") == k, nodes[k][c]), range(len(nodes)), None)
+    rows = rows.select(doc_id.cast("bigint").alias("doc_id"), *[chosen(c).alias(c) for c in nodes[0]])
     typed = rows.withColumn("t_prefix", F.lit(None).cast("string")).withColumn("t_int", F.lit(None).cast("int")).withColumn("t_suffix", F.lit(None).cast("string"))
     # a null attribute or text is no node; positions may have gaps
     return typed.where(F.col("value").isNotNull() | (F.col("kind") == ELEMENT)).select(*COLUMNS)
@@ -64,20 +74,37 @@ def flat_documents(parents: DataFrame, doc_id: Column, root: Leaf) -> DataFrame:
     return _exploded(parents, doc_id, _nodes(root, F.lit(1), F.lit(0), 1, "", F.lit(1), F.lit(1)))
 
 
+#: Estimated bytes of the tables' files for a task: some 100,000 rows, so what a task sorts and holds does not grow with the tables.
+PART_BYTES = 1 << 20
+
+
+def _parts(rows: DataFrame) -> int | None:
+    """How many tasks rows are dealt to by their estimated size; None where Spark has no estimate (no job is run for it)."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size >= 1 << 50 else min(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), 50_000)
+
+
 def nested_documents(root_rows: DataFrame, doc_id: str, root: Leaf, child_rows: DataFrame, key: str, child: Leaf, order: list[Column]) -> DataFrame:
     """A document for each row of root_rows, with a child element for each row of child_rows of the same key, in that order.
 
     Columns of the two tables must differ in name, but for their keys. Child rows without a root row are left out.
+
+    The base rows of both tables are dealt by document, once and before they become nodes; what follows by document (doc_id) needs
+    no further shuffle.
     """
-    own = Window.partitionBy(key).orderBy(*order)
-    numbered = child_rows.withColumn("_k", F.row_number().over(own))
-    counts = numbered.groupBy(key).agg(F.max("_k").alias("_children"))
+    tops = root_rows.withColumn("_doc", F.col(doc_id).cast("bigint")).withColumn("_top", F.lit(True))
+    parts = child_rows.where(F.col(key).isNotNull()).withColumn("_doc", F.col(key).cast("bigint")).withColumn("_top", F.lit(False))
+    both = tops.unionByName(parts, allowMissingColumns=True)
+    n = _parts(both)
+    both = both.repartition(n, "_doc") if n else both.repartition("_doc")
+    whole = Window.partitionBy("_doc")
+    upto = whole.orderBy(F.col("_top").desc(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    below = F.count(F.when(~F.col("_top"), 1))
+    rows = both.withColumn("_k", below.over(upto)).withColumn("_children", below.over(whole)).withColumn("_known", F.max("_top").over(whole)).where("_known")
     head, size = root.size(), child.size()
-    roots = root_rows.join(counts, root_rows[doc_id] == counts[key], "left").withColumn("_children", F.coalesce("_children", F.lit(0)))
-    top = _exploded(roots, root_rows[doc_id], _nodes(root, F.lit(1), F.lit(0), 1, "", F.lit(1), F.lit(1), F.lit(head) + F.col("_children") * size))
-    known = numbered.join(root_rows.select(F.col(doc_id).alias("_doc")), F.col(key) == F.col("_doc"), "left_semi")
-    below = _exploded(known, F.col(key), _nodes(child, F.lit(head + 1) + (F.col("_k") - 1) * size, F.lit(1), 2, f"/{root.tag}", F.col("_k"), F.col("_k") + len(root.children)))
-    return top.unionByName(below)
+    top = _nodes(root, F.lit(1), F.lit(0), 1, "", F.lit(1), F.lit(1), F.lit(head) + F.col("_children") * size)
+    each = _nodes(child, F.lit(head + 1) + (F.col("_k") - 1) * size, F.lit(1), 2, f"/{root.tag}", F.col("_k"), F.col("_k") + len(root.children))
+    return _exploded(rows, F.col("_doc"), top + each, len(top))
 
 
 # --- the shapes of the registered queries -----------------------------------------------------------------------------

@@ -4,7 +4,6 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.operators import arrange as ar
 from sylva.operators import edit
 from sylva.operators.serialize import to_xml
 from sylva.queries import ORACLE_SQL, QUERIES
@@ -37,3 +36,55 @@ def same(spark, d, name):
 @pytest.mark.parametrize("name", ["pred_whole_text", "pred_last_step"])
 def test_prices_between_whole_numbers(spark, tables, name):
     same(spark, tables, name)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["sort_whole_document", "head_whole_document"])
+def test_renumbering_joins_nothing(spark, tables, name):
+    """What is joined can be broadcast, by estimates that know nothing of the nodes in a row."""
+    same(spark, tables, name)
+    assert "Join" not in plan(QUERIES[name](spark, tables))
+
+
+def test_deletion_joins_nothing(spark, tables):
+    same(spark, tables, "delete_values")
+    assert "Join" not in plan(QUERIES["delete_values"](spark, tables))
+
+
+def test_deletion_by_position_and_predicates(spark):
+    nodes = shred(spark.createDataFrame([(1, "<a><b>1</b><b k='x'>2</b><c/><b>3</b></a>")], "doc_id long, xml string"))
+    xml = lambda *paths: to_xml(edit.delete(nodes, list(paths), strict=False)).collect()[0]["xml"]
+    assert xml("/a/b[1]") == '<a><b k="x">2</b><c/><b>3</b></a>' and xml("/a/*[3]", "/a/b[@k]") == "<a><b>1</b><b>3</b></a>"
+
+
+@pytest.mark.parametrize("name", ["delete_values", "select_xml", "sort_one_key", "sort_two_keys", "head_n", "head_negative", "tail_n", "sort_first_path_wins", "flatten_values", "agg_filtered_context", "pred_and_or", "pred_element"])
+def test_base_rows_are_dealt_once(spark, tables, name):
+    """Only base rows are shuffled, by document; no node is."""
+    same(spark, tables, name)
+    dealt = [line for line in QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_tasks_grow_with_the_tables(spark, monkeypatch, tables):
+    least = spark.sparkContext.defaultParallelism
+    assert publish.orders_documents(spark, tables).rdd.getNumPartitions() == least
+    monkeypatch.setattr(publish, "PART_BYTES", 10)
+    assert publish.orders_documents(spark, tables).rdd.getNumPartitions() > 10 * least
+
+
+def test_documents_of_odd_rows(spark, tables):
+    """A null key is a document without children; lines of no order, or without key, are left out."""
+    rows = publish.orders_documents(spark, tables).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last"))
+    assert {tuple(r) for r in rows.collect()} == {(None, 2, 3), (1, 24, 24), (2, 17, 17), (3, 3, 3), (40, 10, 10)}
+
+
+def test_flatten_depths(spark):
+    """Matches of three depths, within one another and apart."""
+    nodes = shred(spark.createDataFrame([(1, "<a><b><b><b>1</b></b></b><c><b>2</b></c></a>")], "doc_id long, xml string"))
+    assert to_xml(edit.flatten(nodes, ["//b"], recursive=True)).collect()[0]["xml"] == "<a>1<c>2</c></a>"
+    apart = shred(spark.createDataFrame([(1, "<a><b>1</b><c><d><b>2</b></d></c></a>")], "doc_id long, xml string"))
+    assert to_xml(edit.flatten(apart, ["//b"], recursive=True)).collect()[0]["xml"] == "<a>1<c><d>2</d></c></a>"
+    assert to_xml(edit.flatten(apart, ["//x"], recursive=True)).collect()[0]["xml"] == "<a><b>1</b><c><d><b>2</b></d></c></a>"
