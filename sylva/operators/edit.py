@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva.model import COLUMNS, ELEMENT, TEXT, SpecError
 from sylva.operators.arrange import siblings
-from sylva.plans.match import match, on_path, plain
+from sylva.plans.match import by_row, in_row, match, on_path, plain
 from sylva.plans.xpath import parse
 
 
@@ -19,9 +19,9 @@ def _flagged(nodes: DataFrame, paths: list[str], strict: bool) -> DataFrame:
     parsed = [parse(p, strict) for p in paths]
     if any(p.is_document for p in parsed) or not parsed:
         raise SpecError("paths of nodes are needed")
-    simple = [on_path(s) for p in parsed if all(plain(a) for a in p.alternatives) for s in p.alternatives]
-    test: Column = reduce(lambda a, b: a | b, simple, F.lit(False))
-    rest = [p for p in parsed if not all(plain(a) for a in p.alternatives)]
+    simple = [in_row(s) for p in parsed if all(by_row(a) for a in p.alternatives) for s in p.alternatives]
+    test: Column = F.coalesce(reduce(lambda a, b: a | b, simple, F.lit(False)), F.lit(False))
+    rest = [p for p in parsed if not all(by_row(a) for a in p.alternatives)]
     if not rest:
         return nodes.withColumn("_hit", test)
     hits = reduce(DataFrame.union, [match(nodes, p).select("doc_id", "pre") for p in rest]).distinct().withColumn("_m", F.lit(True))
@@ -60,11 +60,12 @@ def flatten(nodes: DataFrame, paths: list[str], recursive: bool = False, strict:
     before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     levels = 1
     if recursive:
-        # how deep matches lie within one another bounds the rounds; each takes one level away
-        depths = rows.where("_hit").select("doc_id", "pre", "last")
-        nested = depths.withColumn("_e", F.max("last").over(before)).where("_e >= pre").limit(1).count()
-        if nested:
-            levels = rows.where("_hit").agg(F.max("depth") - F.min("depth") + 1).first()[0]
+        # how deep matches lie within one another bounds the rounds; each takes one level away. The depths alone bound them too,
+        # and a second round costs less than to see whether it is needed
+        levels = rows.where("_hit").agg(F.max("depth") - F.min("depth") + 1).first()[0] or 1
+        if levels > 2:
+            depths = rows.where("_hit").select("doc_id", "pre", "last")
+            levels = levels if depths.withColumn("_e", F.max("last").over(before)).where("_e >= pre").limit(1).count() else 1
     for _ in range(levels):
         outer = F.col("_hit") & (F.coalesce(F.max(F.when(F.col("_hit"), F.col("last"))).over(before), F.lit(-1)) < F.col("pre"))
         rows = rows.withColumn("_outer", outer)

@@ -43,6 +43,20 @@ def plain(steps: tuple[Step, ...]) -> bool:
     return all(not s.predicates and s.axis != "parent" for s in steps)
 
 
+def by_row(steps: tuple[Step, ...]) -> bool:
+    """Whether each row tells by itself that it is matched from the root: positions are asked for in the last step at most."""
+    return plain(steps[:-1]) and all(s.axis != "parent" for s in steps) and all(p.kind == "position" for s in steps[-1:] for p in s.predicates)
+
+
+def in_row(steps: tuple[Step, ...]) -> Column:
+    """Whether a row is matched by steps for which by_row() holds."""
+    return reduce(lambda a, b: a & b, [on_path(steps), *[_position(s, p) for s in steps[-1:] for p in s.predicates]])
+
+
+def _position(step: Step, p: Predicate) -> Column:
+    return F.col("nth" if step.name is None else "sib") == p.value
+
+
 def on_path(steps: tuple[Step, ...], below: str = "", path: Column | None = None) -> Column:
     """Whether a label path is matched from the root; `below` is a pattern that may follow."""
     path = F.col("path") if path is None else path
@@ -143,7 +157,7 @@ def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...],
     All predicates of a step are settled in one pass over the nodes they speak of, in document order.
     """
     step = run[-1]
-    position = [F.col("nth" if step.name is None else "sib") == p.value for p in step.predicates if p.kind == "position"]
+    position = [_position(step, p) for p in step.predicates if p.kind == "position"]
     tests = [p for p in step.predicates if p.kind != "position"]
     if found is None:
         here = reduce(lambda a, b: a & b, [on_path(run), *position])
