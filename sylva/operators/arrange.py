@@ -42,17 +42,25 @@ def renumber(rows: DataFrame, order: list[Column]) -> DataFrame:
 
     In the new order each node must be followed by those of its subtree that are left. Documents are numbered one by one.
     """
-    in_new, in_old = Window.partitionBy("doc_id").orderBy(*order), Window.partitionBy("doc_id").orderBy("pre")
-    rows = rows.withColumn("_new", F.row_number().over(in_new)).withColumn("_rank", F.row_number().over(in_old))
-    places = rows.select("doc_id", F.col("pre").alias("_at"), F.lit(None).cast("int").alias("_owner"))
-    asked = rows.where(F.col("kind") == ELEMENT).select("doc_id", F.col("last").alias("_at"), F.col("pre").alias("_owner"))
-    upto = Window.partitionBy("doc_id").orderBy("_at", F.col("_owner").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = places.unionByName(asked).withColumn("_kept", F.count(F.when(F.col("_owner").isNull(), 1)).over(upto)).where("_owner is not null")
-    counted = counted.select("doc_id", F.col("_owner").alias("pre"), "_kept")
-    above = rows.select("doc_id", F.col("pre").alias("parent"), F.col("_new").alias("_up"))
-    out = rows.join(counted, ["doc_id", "pre"], "left").join(above, ["doc_id", "parent"], "left")
-    size = F.coalesce(F.col("_kept") - F.col("_rank"), F.lit(0)).cast("int")
-    out = out.withColumn("parent", F.coalesce("_up", F.lit(0))).withColumn("pre", F.col("_new")).withColumn("last", F.col("_new") + size)
+    in_new, in_old = Window.partitionBy("doc_id").orderBy(*order), Window.partitionBy("doc_id").orderBy("pre", "_end").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("doc_id", "parent")
+    rows = rows.withColumn("_new", F.row_number().over(in_new)).select(*COLUMNS, "_new")
+    # a slim row more for each element stands where it ends, to count what is left of its subtree, and one as its own child, to hand
+    # its new position down; so it is all windows by document and no node is looked up in a join
+    element = F.col("kind") == ELEMENT
+    at = lambda place, owner, end: F.struct(place.alias("_at"), owner.alias("_own"), F.lit(end).alias("_end"))
+    both = F.explode(F.when(element, F.array(at(F.col("pre"), F.col("pre"), 0), at(F.col("last"), F.col("pre"), 1))).otherwise(F.array(at(F.col("pre"), F.col("pre"), 0))))
+    rows = rows.withColumn("_place", both)
+    slim = lambda c, mark: F.when(mark == 0, F.col(c)).alias(c)
+    kept = [c for c in COLUMNS if c not in ("doc_id", "pre", "last")]
+    rows = rows.select("doc_id", F.col("_place._at").alias("pre"), F.col("_place._own").alias("_own"), F.col("_place._end").alias("_end"), *[slim(c, F.col("_place._end")) for c in kept], slim("_new", F.col("_place._end")))
+    rows = rows.withColumn("_kept", F.count("_new").over(in_old))
+    whole = Window.partitionBy("doc_id", "_own")
+    rows = rows.withColumn("_size", F.coalesce(F.max(F.when(F.col("_end") == 1, F.col("_kept"))).over(whole) - F.col("_kept"), F.lit(0)).cast("int")).where("_end = 0")
+    child = F.explode(F.when(element, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = rows.withColumn("_up", child).withColumn("parent", F.when(F.col("_up") == 1, F.col("pre")).otherwise(F.col("parent")))
+    rows = rows.withColumn("_above", F.max(F.when(F.col("_up") == 1, F.col("_new"))).over(above)).where("_up = 0")
+    out = rows.withColumn("parent", F.coalesce("_above", F.lit(0))).withColumn("pre", F.col("_new")).withColumn("last", F.col("_new") + F.col("_size"))
     return siblings(out)
 
 
