@@ -25,10 +25,12 @@ def to_xml(nodes: DataFrame, by: list[str] | None = None, indent: int = 0) -> Da
     lines of their own.
     """
     by = by or ["doc_id"]
-    starts = nodes.select(*by, F.col("pre").alias("_a"), F.lit(0).alias("_b"), F.lit(0).alias("_c"), "kind", "tag", "value", "depth")
-    ends = nodes.where(F.col("kind") == ELEMENT).select(*by, F.col("last").alias("_a"), F.lit(1).alias("_b"), (-F.col("depth")).alias("_c"), F.lit("end").alias("kind"), "tag", "value", "depth")
+    event = lambda at, b, c, kind: F.struct(F.col(at).alias("_a"), F.lit(b).alias("_b"), c.alias("_c"), kind.alias("kind"))
+    start, end = event("pre", 0, F.lit(0), F.col("kind")), event("last", 1, -F.col("depth"), F.lit("end"))
+    both = F.explode(F.when(F.col("kind") == ELEMENT, F.array(start, end)).otherwise(F.array(start)))
     order = Window.partitionBy(*by).orderBy("_a", "_b", "_c")
-    events = starts.unionByName(ends).withColumn("_before", F.lag("kind").over(order))
+    events = nodes.select(*by, "tag", "value", "depth", both.alias("_event")).select(*by, "tag", "value", "depth", "_event.*")
+    events = events.withColumn("_before", F.lag("kind").over(order))
     kind, before = F.col("kind"), F.col("_before")
     pending = before.isin(ELEMENT, ATTRIBUTE)
     close = F.when(pending & (kind != ATTRIBUTE), F.lit(">")).otherwise(F.lit(""))
