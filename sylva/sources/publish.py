@@ -29,41 +29,68 @@ class Leaf:
         return 1 + len(self.attributes) + (self.text is not None) + sum(c.size() for c in self.children)
 
 
-def _nodes(leaf: Leaf, at: Column, parent: Column, depth: int, path: str, sib: Column, nth: Column, last: Column | None = None) -> list[dict[str, Column]]:
-    """The leaf's rows by column, its own at position `at`."""
-
-    def row(pre, last, parent, kind, tag, path, sib, nth, value) -> dict[str, Column]:
-        cast = lambda c, t: (F.lit(c) if not isinstance(c, Column) else c).cast(t)
-        return {"pre": cast(pre, "int"), "last": cast(last, "int"), "parent": cast(parent, "int"), "depth": F.lit(depth), "kind": F.lit(kind), "tag": cast(tag, "string"), "path": F.lit(path), "sib": cast(sib, "int"), "nth": cast(nth, "int"), "value": cast(value, "string")}
-
-    own = f"{path}/{leaf.tag}"
-    out = [row(at, at + (leaf.size() - 1) if last is None else last, parent, ELEMENT, leaf.tag, own, sib, nth, None)]
-    k = 1
-    for name, value in leaf.attributes.items():
-        out.append(row(at + k, at + k, at, ATTRIBUTE, name, f"{own}/@{name}", None, None, value))
-        k += 1
-    if leaf.text is not None:
-        out.append(row(at + k, at + k, at, TEXT, None, f"{own}/text()", None, None, leaf.text))
-        k += 1
-    seen: dict[str, int] = {}
-    for n, child in enumerate(leaf.children, 1):
-        seen[child.tag] = seen.get(child.tag, 0) + 1
-        out += _nodes(child, at + k, at, depth + 1, own, F.lit(seen[child.tag]), F.lit(n))
-        k += child.size()
-    return out
+#: Columns that are alike in all documents of a shape.
+FIXED = {"depth": "int", "kind": "string", "tag": "string"}
 
 
-def _exploded(df: DataFrame, doc_id: Column, nodes: list[dict[str, Column]], top: int | None = None) -> DataFrame:
-    """A row of df becomes its nodes; with top, rows of roots (_top) become the first so many and others the rest.
+def _nodes(leaf: Leaf, at: Column, parent: Column, depth: int, path: str, sib: Column, nth: Column, last: Column | None = None) -> list[dict]:
+    """The leaf's rows by column, its own at position `at`. Positions are pairs of a column and what is added to it."""
 
-    Only a number is exploded and the columns are chosen by it, so what is not asked for is never made, and tests of label paths
-    become tests of that number.
+    def nodes(leaf, k, above, depth, path, sib, nth, last=None) -> list[dict]:
+        row = lambda pre, last, parent, kind, tag, path, sib, nth, value: {"pre": (at, pre), "last": last if isinstance(last, tuple) else (at, last), "parent": parent, "depth": depth, "kind": kind, "tag": tag, "path": path, "sib": sib, "nth": nth, "value": value}
+        own, here = f"{path}/{leaf.tag}", k
+        out = [row(k, k + leaf.size() - 1 if last is None else (last, 0), above, ELEMENT, leaf.tag, own, sib, nth, None)]
+        k += 1
+        for name, value in leaf.attributes.items():
+            out.append(row(k, k, (at, here), ATTRIBUTE, name, f"{own}/@{name}", None, None, value))
+            k += 1
+        if leaf.text is not None:
+            out.append(row(k, k, (at, here), TEXT, None, f"{own}/text()", None, None, leaf.text))
+            k += 1
+        seen: dict[str, int] = {}
+        for n, child in enumerate(leaf.children, 1):
+            seen[child.tag] = seen.get(child.tag, 0) + 1
+            out += nodes(child, k, (at, here), depth + 1, own, F.lit(seen[child.tag]), F.lit(n))
+            k += child.size()
+        return out
+
+    return nodes(leaf, 0, (parent, 0), depth, path, sib, nth, last)
+
+
+def _exploded(df: DataFrame, doc_id: Column, groups: list[list[dict]]) -> DataFrame:
+    """A row of df becomes its nodes; of two groups, rows of roots (_top) become the first and others the second.
+
+    Only a number is exploded and the columns are looked up by it, so what is not asked for is never made. What is fixed stands in
+    arrays of constants: code that chooses by cases grows with nodes and columns beyond what the JVM compiles (8,000 bytes).
     """
+    nodes = [n for group in groups for n in group]
     numbers = lambda a, b: F.array(*[F.lit(k) for k in range(a, b)])
-    of = numbers(0, len(nodes)) if top is None else F.when(F.col("_top"), numbers(0, top)).otherwise(numbers(top, len(nodes)))
+    of = numbers(0, len(nodes)) if len(groups) == 1 else F.when(F.col("_top"), numbers(0, len(groups[0]))).otherwise(numbers(len(groups[0]), len(nodes)))
     rows = df.withColumn("_n", F.explode(of))
-    chosen = lambda c: reduce(lambda out, k: (F if out is None else out).when(F.col("_n") == k, nodes[k][c]), range(len(nodes)), None)
-    rows = rows.select(doc_id.cast("bigint").alias("doc_id"), *[chosen(c).alias(c) for c in nodes[0]])
+    n = F.col("_n")
+    table = lambda values, t: F.get(F.array(*[F.lit(v).cast(t) for v in values]), n)
+
+    def cases(values: list[Column | None], t: str) -> Column:
+        """The value of the number, with a case for each column that is not null."""
+        some = [(k, v) for k, v in enumerate(values) if v is not None]
+        return reduce(lambda out, kv: (F if out is None else out).when(n == kv[0], kv[1].cast(t)), some, None) if some else F.lit(None).cast(t)
+
+    def position(c: str) -> Column:
+        """Groups share the column that most of their positions are counted from; the others have cases of their own."""
+        out = None
+        for first, group in zip((0, len(groups[0])), groups):
+            base = group[0]["pre"][0]
+            odd = [(first + k, r[c]) for k, r in enumerate(group) if r[c][0] is not base]
+            plain = base.cast("int") + table([r[c][1] for g in groups for r in g], "int")
+            for k, (column, more) in odd:
+                plain = F.when(n == k, (column + more).cast("int")).otherwise(plain)
+            out = plain if out is None else F.when(n < len(groups[0]), out).otherwise(plain)
+        return out
+
+    made = {c: position(c) for c in ("pre", "last", "parent")} | {c: table([r[c] for r in nodes], t) for c, t in FIXED.items()} | {c: cases([r[c] for r in nodes], "int") for c in ("sib", "nth")}
+    made["value"] = cases([r["value"] for r in nodes], "string")
+    made["path"] = cases([F.lit(r["path"]) for r in nodes], "string")  # by cases tests of label paths become tests of the number
+    rows = rows.select(doc_id.cast("bigint").alias("doc_id"), *[made[c].alias(c) for c in nodes[0]])
     typed = rows.withColumn("t_prefix", F.lit(None).cast("string")).withColumn("t_int", F.lit(None).cast("int")).withColumn("t_suffix", F.lit(None).cast("string"))
     # a null attribute or text is no node; positions may have gaps
     return typed.where(F.col("value").isNotNull() | (F.col("kind") == ELEMENT)).select(*COLUMNS)
@@ -71,7 +98,7 @@ def _exploded(df: DataFrame, doc_id: Column, nodes: list[dict[str, Column]], top
 
 def flat_documents(parents: DataFrame, doc_id: Column, root: Leaf) -> DataFrame:
     """A document for each row, all of one shape."""
-    return _exploded(parents, doc_id, _nodes(root, F.lit(1), F.lit(0), 1, "", F.lit(1), F.lit(1)))
+    return _exploded(parents, doc_id, [_nodes(root, F.lit(1), F.lit(0), 1, "", F.lit(1), F.lit(1))])
 
 
 #: Estimated bytes of the tables' files for a task: some 100,000 rows, so what a task sorts and holds does not grow with the tables.
@@ -104,7 +131,7 @@ def nested_documents(root_rows: DataFrame, doc_id: str, root: Leaf, child_rows:
     head, size = root.size(), child.size()
     top = _nodes(root, F.lit(1), F.lit(0), 1, "", F.lit(1), F.lit(1), F.lit(head) + F.col("_children") * size)
     each = _nodes(child, F.lit(head + 1) + (F.col("_k") - 1) * size, F.lit(1), 2, f"/{root.tag}", F.col("_k"), F.col("_k") + len(root.children))
-    return _exploded(rows, F.col("_doc"), top + each, len(top))
+    return _exploded(rows, F.col("_doc"), [top, each])
 
 
 # --- the shapes of the registered queries -----------------------------------------------------------------------------
