@@ -151,6 +151,44 @@ def _whole(p: Predicate, texts: Column, spans: Column | None) -> Column:
     return F.exists(each, lambda v: _test(p, v))
 
 
+def _own(leaves: list[Predicate]) -> bool:
+    """Whether single tests speak of nothing but an element's own attributes and text."""
+    return all(len(p.target) == 1 and p.target[0][0] == "@" or p.target == ("text()",) for p in leaves)
+
+
+def by_owner(steps: tuple[Step, ...]) -> bool:
+    """Whether flagged() can settle what is matched from the root: elements, with tests of their own attributes and text in the last step."""
+    return bool(steps) and plain(steps[:-1]) and all(s.axis != "parent" for s in steps) and steps[-1].kind == "element" and _own(_leaves([p for p in steps[-1].predicates if p.kind != "position"]))
+
+
+def needed(steps: tuple[Step, ...]) -> Column:
+    """The rows that flagged() looks at: what may be matched, and what its tests speak of."""
+    leaves = _leaves([p for p in steps[-1].predicates if p.kind != "position"])
+    return reduce(lambda a, b: a | b, [on_path(steps), *[_below_run(steps, p) for p in leaves]])
+
+
+def _below_run(run: tuple[Step, ...], p: Predicate) -> Column:
+    target = p.target[0]
+    return on_path(run, "/" + ("@[^/]+" if target == "@*" else re.escape(target))) if target == "@*" or any(s.axis not in ("child", "self") or s.name is None for s in run) else F.col("path") == "".join(f"/{s.name}" for s in run if s.axis != "self") + f"/{target}"
+
+
+def flagged(nodes: DataFrame, steps: tuple[Step, ...], mark: str) -> DataFrame:
+    """nodes with a column that tells what steps select from the root; by_owner() must hold.
+
+    Attributes and text know their owner, so a window over each element and what is its own settles all tests: nothing is joined.
+    """
+    step = steps[-1]
+    tests = [p for p in step.predicates if p.kind != "position"]
+    hit = reduce(lambda a, b: a & b, [on_path(steps), F.col("kind") == ELEMENT, *[_position(step, p) for p in step.predicates if p.kind == "position"]])
+    if not tests:
+        return nodes.withColumn(mark, hit)
+    number = {p: k for k, p in enumerate(dict.fromkeys(_leaves(tests)))}
+    rows = nodes.withColumn("_owner", F.when(F.col("kind") == ELEMENT, F.col("pre")).otherwise(F.col("parent")))
+    own = Window.partitionBy("doc_id", "_owner")
+    rows = rows.select("*", *[F.coalesce(F.bool_or(_below_run(steps, p) & _test(p, F.col("value"))).over(own), F.lit(False)).alias(f"_p{k}") for p, k in number.items()])
+    return rows.withColumn(mark, reduce(lambda a, b: a & b, [hit, *[_holds(p, number) for p in tests]])).drop("_owner", *[f"_p{k}" for k in number.values()])
+
+
 def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...], disjoint: bool) -> DataFrame:
     """Of found the nodes that satisfy the predicates of run's last step; without found, of the nodes that run selects.
 
@@ -169,7 +207,9 @@ def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...],
             return found
     leaves = list(dict.fromkeys(_leaves(tests)))
     number = {p: k for k, p in enumerate(leaves)}
-    if all(len(p.target) == 1 and p.target[0][0] == "@" or p.target == ("text()",) for p in leaves):
+    if found is None and by_owner(run) and any(p.kind in ("and", "or") for p in tests):
+        return flagged(nodes.where(needed(run)), run, "_hit").where("_hit").select(*nodes.columns)
+    if _own(leaves):
         # attributes and text know their owner: those that pass a test are grouped by it
         below = {p: F.col("path").rlike(f"{_below(p.target, True)}$") if found is not None or "*" in p.target[0] else on_path(run, re.escape("/" + p.target[0])) for p in leaves}
         flags = [(below[p] & _test(p, F.col("value"))).alias(f"_p{number[p]}") for p in leaves]
