@@ -198,8 +198,11 @@ def select_xml(spark: SparkSession, d: str) -> DataFrame:
 # --- sort, head, tail -------------------------------------------------------------------------------------------------
 
 
+PRICE = "/order/lineitem/price/text()"
+
+
 def _sorted(*keys: str):
-    return _orders(lambda n: ar.sort(n, "/order", [ar.Elem("lineitem", keys)]).where("path = '/order/lineitem/price/text()'").select("doc_id", "pre", "value"))
+    return _orders(lambda n: ar.sort(n, "/order", [ar.Elem("lineitem", keys)], paths=[PRICE]).where("path = '/order/lineitem/price/text()'").select("doc_id", "pre", "value"))
 
 
 def _sorted_sql(order: str) -> str:

@@ -1,9 +1,12 @@
 """What larger tables brought to light: prices between whole numbers, and plans that deal base rows by document once."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from sylva.operators import arrange as ar
 from sylva.operators import edit
 from sylva.operators.serialize import to_xml
 from sylva.queries import ORACLE_SQL, QUERIES
@@ -38,6 +41,34 @@ def test_prices_between_whole_numbers(spark, tables, name):
     same(spark, tables, name)
 
 
+def code(spark, df) -> int:
+    """Bytes of the largest method that Spark generates for a plan."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name", [None, "sort_one_key", "sort_two_keys", "sort_first_path_wins", "head_n", "head_negative", "tail_n", "agg_filtered_context", "pred_and_or", "pred_element", "to_xml"])
+def test_generated_code_is_compiled(spark, tables, name):
+    """The JVM never compiles methods of 8,000 bytes and more."""
+    assert code(spark, QUERIES[name](spark, tables) if name else publish.orders_documents(spark, tables)) < 8000
+
+
+@pytest.mark.parametrize("how, keys", [(ar.sort, ("price/text()",)), (ar.sort, ("@flag", "quantity")), (ar.sort, ()), (ar.head, ()), (ar.tail, ())])
+@pytest.mark.parametrize("paths", [("lineitem",), ("lineitem[@flag='R']", "lineitem"), ("lineitem[2]",), ("lineitem[@flag='R' or @part<6]",)])
+def test_rows_that_are_asked_for(spark, tables, how, keys, paths):
+    """Leaving out what is not asked for changes no row that is, and predicates on attributes are settled without a join."""
+    nodes, asked = publish.orders_documents(spark, tables).where("doc_id is not null"), ["/order/lineitem/@part", "/order/lineitem"]
+    elems = [ar.Elem(p, keys, 1) for p in paths]
+    whole, some = how(nodes, "/order", elems, strict=False), how(nodes, "/order", elems, strict=False, paths=asked)
+    rows = lambda df: sorted(map(tuple, df.where(F.col("path").isin(asked)).collect()), key=str)
+    assert rows(some) == rows(whole) and rows(some)
+    assert "Join" not in plan(some) and some.count() < whole.count()
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
 
