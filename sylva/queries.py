@@ -227,7 +227,7 @@ def sort_typed_key(spark: SparkSession, d: str) -> DataFrame:
     return ar.sort(nodes, "/nation", [ar.Elem("customer", ("@segment", "name/text()"))]).where("path = '/nation/customer/name/text()'").select("doc_id", "pre", "value")
 
 
-query("sort_first_path_wins", _sorted_sql("l_returnflag <> 'R'"))(_orders(lambda n: ar.sort(n, "/order", [ar.Elem("lineitem[@flag='R']"), ar.Elem("lineitem")], strict=False).where("path = '/order/lineitem/price/text()'").select("doc_id", "pre", "value")))
+query("sort_first_path_wins", _sorted_sql("l_returnflag <> 'R'"))(_orders(lambda n: ar.sort(n, "/order", [ar.Elem("lineitem[@flag='R']"), ar.Elem("lineitem")], strict=False, paths=[PRICE]).where("path = '/order/lineitem/price/text()'").select("doc_id", "pre", "value")))
 query("sort_whole_document", _sorted_sql("p") + " UNION ALL SELECT o_orderkey, CAST(2 AS INTEGER), CAST(o_orderkey AS VARCHAR) FROM orders")(_orders(lambda n: ar.sort(n, "/", [ar.Elem("//lineitem", ("price/text()",))]).where("path in ('/order/lineitem/price/text()', '/order/@key')").select("doc_id", "pre", "value")))
 
 
