@@ -247,7 +247,7 @@ def head_path_by_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cut(keep: Callable, **options):
-    return _orders(lambda n: keep(n, "/order", [ar.Elem("lineitem", **options)]).where("path = '/order/lineitem/@part'").select("doc_id", "pre", "value"))
+    return _orders(lambda n: keep(n, "/order", [ar.Elem("lineitem", **options)], paths=["/order/lineitem/@part"]).where("path = '/order/lineitem/@part'").select("doc_id", "pre", "value"))
 
 
 query("head_n", _lines(2, "l_partkey", "WHERE k <= 2"))(_cut(ar.head, n=2))
