@@ -68,25 +68,40 @@ def on_path(steps: tuple[Step, ...], below: str = "", path: Column | None = None
     else:
         if not below:
             return path == literal
+    end = "" if below else _ending(steps)
+    if end:  # above what is named only elements can stand, whose names have no /, @ or brackets
+        return path.endswith(end)
     test = path.rlike(f"^{pattern(steps)}{below}$")
     return path.startswith(literal) & test if literal else test
 
 
-def _assigned(both: DataFrame, disjoint: bool) -> DataFrame:
+def _ending(steps: tuple[Step, ...]) -> str:
+    """What label paths end with if and only if steps match them: names below the first step, which skips levels; else nothing."""
+    first, *more = [s for s in steps if s.axis != "self"]
+    if first.axis != "descendant" or any(s.axis != "child" for s in more) or any(s.kind != "text" and s.name is None for s in (first, *more)):
+        return ""
+    return "".join("/" + {"element": s.name, "attribute": f"@{s.name}", "text": "text()"}[s.kind] for s in (first, *more))
+
+
+def assigned(both: DataFrame, disjoint: bool, last: dict[str, Column] | None = None, level: Column | None = None) -> DataFrame:
     """both with _at, the nearest _outer that begins at or before the row, of each depth that outer nodes have.
 
     both: doc_id, pre, _depth and _outer, a struct for outer nodes and null for other rows. Nodes of one depth never overlap, so a
     running last value in document order finds them; where outer nodes may lie within one another a row stands once for each
     depth of the document's outer nodes. It is all one shuffle by document, and no pairs are made.
+
+    last: further running last values, by name. level: the one depth that a row stands for, where it is known.
     """
     by = ["doc_id"]
-    if not disjoint:
+    if not disjoint and level is not None:
+        both, by = both.withColumn("_level", level), ["doc_id", "_level"]
+    elif not disjoint:
         outer = F.col("_outer").isNotNull()
         depths = F.collect_set(F.when(outer, F.col("_depth"))).over(Window.partitionBy("doc_id"))
         levels = F.when(outer, F.array("_depth")).otherwise(F.filter(depths, lambda d: d <= F.col("_depth")))
         both, by = both.withColumn("_level", levels).withColumn("_level", F.explode("_level")), ["doc_id", "_level"]
     order = Window.partitionBy(*by).orderBy("pre", F.col("_outer").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_at", F.last("_outer", ignorenulls=True).over(order))
+    return both.select("*", *[F.last(c, ignorenulls=True).over(order).alias(name) for name, c in {"_at": F.col("_outer"), **(last or {})}.items()])
 
 
 def _inside(inclusive: bool = False) -> Column:
@@ -105,7 +120,7 @@ def within(outer: DataFrame, inner: DataFrame, disjoint: bool, condition: Column
     own = [c for c in inner.columns if c not in ("doc_id", "pre", "depth")]
     marks = outer.select("doc_id", "pre", F.col("depth").alias("_depth"), F.struct(*[F.col(c).alias(c) for c in held]).alias("_outer"), *[F.lit(None).cast(inner.schema[c].dataType).alias(f"_{c}") for c in own])
     rows = inner.select("doc_id", "pre", F.col("depth").alias("_depth"), F.lit(None).cast(marks.schema["_outer"].dataType).alias("_outer"), *[F.col(c).alias(f"_{c}") for c in own])
-    found = _assigned(rows.unionByName(marks), disjoint).where(_inside(inclusive))
+    found = assigned(rows.unionByName(marks), disjoint).where(_inside(inclusive))
     found = found.select(*[F.col(c if c in ("doc_id", "pre") else f"_{c}").alias(c) for c in inner.columns], "_at")
     if repeated:
         found = found.withColumn("_c", F.explode("_at._carried"))
@@ -169,7 +184,7 @@ def needed(steps: tuple[Step, ...]) -> Column:
 
 def _below_run(run: tuple[Step, ...], p: Predicate) -> Column:
     target = p.target[0]
-    return on_path(run, "/" + ("@[^/]+" if target == "@*" else re.escape(target))) if target == "@*" or any(s.axis not in ("child", "self") or s.name is None for s in run) else F.col("path") == "".join(f"/{s.name}" for s in run if s.axis != "self") + f"/{target}"
+    return on_path(run + (Step("child", "text") if target == "text()" else Step("child", "attribute", None if target == "@*" else target[1:]),))
 
 
 def flagged(nodes: DataFrame, steps: tuple[Step, ...], mark: str) -> DataFrame:
@@ -189,6 +204,49 @@ def flagged(nodes: DataFrame, steps: tuple[Step, ...], mark: str) -> DataFrame:
     return rows.withColumn(mark, reduce(lambda a, b: a & b, [hit, *[_holds(p, number) for p in tests]])).drop("_owner", *[f"_p{k}" for k in number.values()])
 
 
+def _settled_before(run: tuple[Step, ...], rest: tuple[Step, ...]) -> bool:
+    """Whether below() can follow rest from the elements of run: attributes, which precede all else in an element, decide about them."""
+    real = [s for s in rest if s.axis != "self"]
+    tests = [p for p in run[-1].predicates if p.kind != "position"]
+    return bool(tests) and by_owner(run) and bool(real) and plain(rest) and (fixed(run) or fixed(rest)) and real[0].kind != "attribute" and all(p.target[0][0] == "@" for p in _leaves(tests))
+
+
+def owned(run: tuple[Step, ...]) -> tuple[Column, dict[str, Column], Column]:
+    """For the elements that run selects from the root, where by_owner() holds: whether a row can be one, by the name of each test
+    whether a row of its own passes it, and whether an element is one, by flags of these names."""
+    step = run[-1]
+    tests = [p for p in step.predicates if p.kind != "position"]
+    number = {p: k for k, p in enumerate(dict.fromkeys(_leaves(tests)))}
+    here = reduce(lambda a, b: a & b, [on_path(run), F.col("kind") == ELEMENT, *[_position(step, p) for p in step.predicates if p.kind == "position"]])
+    passed = {f"_p{k}": (F.col("kind") != ELEMENT) & _below_run(run, p) & _test(p, F.col("value")) for p, k in number.items()}
+    return here, passed, reduce(lambda a, b: a & b, [_holds(p, number) for p in tests], F.lit(True))
+
+
+def below(nodes: DataFrame, run: tuple[Step, ...], rest: tuple[Step, ...]) -> DataFrame:
+    """What rest selects below the elements that run selects from the root; _settled_before() must hold.
+
+    One window in document order: the last element of run's label path, and for each test the owner of the last attribute that
+    passed it. So nodes are read once, attributes that pass no test stay behind, and nothing is joined. Elements of run that lie
+    within one another differ in depth, and rest tells how far above a match its own is.
+    """
+    disjoint = fixed(run)
+    here, passed, holds = owned(run)
+    owns, reached = reduce(lambda a, b: a | b, passed.values()), on_path(run + rest)
+    rows, outer = nodes.where(here | owns | reached), F.struct("pre", "last", *([] if disjoint else ["path"]))
+    if disjoint or rest[-1].kind == "text":
+        rows = rows.withColumn("_target", ~(here | owns))
+    else:  # what is reached from one element may be another one, or its attribute
+        rows = rows.withColumn("_target", F.explode(F.array_compact(F.array(F.when(here | owns, F.lit(False)), F.when(reached, F.lit(True))))))
+    mark = ~F.col("_target")
+    up = F.when(mark, F.col("depth")).otherwise(F.col("depth") - sum(s.kind == "element" for s in rest if s.axis != "self"))
+    last = {name: F.when(mark & test, F.col("parent")) for name, test in passed.items()}
+    found = assigned(rows.withColumn("_outer", F.when(mark & here, outer)), disjoint, last, up).where(F.col("_target") & _inside())
+    if not disjoint:
+        found = found.where(on_path(rest, path=F.substring(F.col("path"), F.length("_at.path") + 1, F.length("path"))))
+    found = found.withColumns({name: F.col(name) == F.col("_at.pre") for name in passed})
+    return found.where(holds).select(*nodes.columns)
+
+
 def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...], disjoint: bool) -> DataFrame:
     """Of found the nodes that satisfy the predicates of run's last step; without found, of the nodes that run selects.
 
@@ -237,7 +295,7 @@ def _filtered(nodes: DataFrame, found: DataFrame | None, run: tuple[Step, ...],
         marks = found.select(*slim, F.struct(*columns).alias("_outer"), *[F.lit(None).cast(nodes.schema[c].dataType).alias(n) for n, c in leaf.items()])
         both = nodes.where(reached).select(*slim, F.lit(None).cast(marks.schema["_outer"].dataType).alias("_outer"), *[F.col(c).alias(n) for n, c in leaf.items()]).unionByName(marks)
     rest = F.substring("_path", F.length("_at.path") + 1, F.length("_path"))
-    both = _assigned(both, disjoint)
+    both = assigned(both, disjoint)
     inside = _inside()
     flags = [F.bool_or(inside & rest.rlike(f"^{below[p]}$") & _test(p, F.col("_value"))).alias(f"_p{number[p]}") for p in leaves if p not in whole]
     gather = lambda shape, *c: F.array_sort(F.collect_list(F.when(inside & rest.rlike(f"^{shape}$"), F.struct(*c))))
@@ -272,6 +330,8 @@ def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, di
         disjoint &= fixed(run)
         trail = None if trail is None else trail + run
         reached = nodes.where(on_path(trail)) if trail else nodes.where(_kind(real[-1])) if real else nodes
+        if at_root and _settled_before(run, steps):
+            return below(nodes, run, steps)
         if at_root:
             found, at_root = _filtered(nodes, None, run, disjoint), False
             continue

@@ -64,9 +64,13 @@ def read_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 
 def write_nodes(nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Stores a node table in order of label path, so a query on few paths skips the rest by the files' statistics."""
-    ordered = nodes.select(*COLUMNS).repartitionByRange("path", "doc_id", "pre").sortWithinPartitions("path", "doc_id", "pre")
-    ordered.write.mode(mode).parquet(path)
+    """Stores a node table with each task's rows in order of label path, so a query on few paths skips the others by the page and
+    row group statistics of each file.
+
+    Nodes are computed once and stay in the task that makes them: what a task sorts does not grow with the table, and an order over
+    all files would take a shuffle of all nodes and their making twice, the first time for the sample of its ranges.
+    """
+    nodes.select(*COLUMNS).sortWithinPartitions("path", "doc_id", "pre").write.mode(mode).parquet(path)
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:

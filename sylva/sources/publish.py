@@ -124,8 +124,8 @@ def nested_documents(root_rows: DataFrame, doc_id: str, root: Leaf, child_rows:
     both = tops.unionByName(parts, allowMissingColumns=True)
     n = _parts(both)
     both = both.repartition(n, "_doc") if n else both.repartition("_doc")
-    whole = Window.partitionBy("_doc")
-    upto = whole.orderBy(F.col("_top").desc(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy("_doc").orderBy(F.col("_top").desc(), *order)  # of one order, so that one pass makes them all
+    upto, whole = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     below = F.count(F.when(~F.col("_top"), 1))
     rows = both.withColumn("_k", below.over(upto)).withColumn("_children", below.over(whole)).withColumn("_known", F.max("_top").over(whole)).where("_known")
     head, size = root.size(), child.size()

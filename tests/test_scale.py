@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from sylva.operators import arrange as ar
 from sylva.operators import edit
 from sylva.operators.serialize import to_xml
+from sylva.plans.match import match
 from sylva.queries import ORACLE_SQL, QUERIES
-from sylva.sources import publish
+from sylva.sources import documents, publish
 from sylva.sources.shred import shred
 
 
@@ -119,3 +120,63 @@ def test_flatten_depths(spark):
     apart = shred(spark.createDataFrame([(1, "<a><b>1</b><c><d><b>2</b></d></c></a>")], "doc_id long, xml string"))
     assert to_xml(edit.flatten(apart, ["//b"], recursive=True)).collect()[0]["xml"] == "<a>1<c><d>2</d></c></a>"
     assert to_xml(edit.flatten(apart, ["//x"], recursive=True)).collect()[0]["xml"] == "<a><b>1</b><c><d><b>2</b></d></c></a>"
+
+
+def test_a_store_takes_no_shuffle_of_nodes(spark, tables, tmp_path):
+    """Each task stores what it has made, in order of label path, and what it stores is whole."""
+    nodes = publish.orders_documents(spark, tables)
+    documents.write_nodes(nodes, store := str(tmp_path / "nodes"))
+    again = documents.read_nodes(spark, store)
+    assert again.exceptAll(nodes).isEmpty() and nodes.exceptAll(again).isEmpty()
+    placed = [tuple(r) for r in again.select("doc_id", F.col("_metadata.file_name"), "path").collect()]
+    files = {f: [p for _, g, p in placed if g == f] for _, f, _ in placed}
+    assert all(paths == sorted(paths) for paths in files.values())
+    assert all(len({f for d, f, _ in placed if d == doc}) == 1 for doc, _, _ in placed)
+
+
+def test_store_is_read_once(spark, tables):
+    same(spark, tables, "store_roundtrip")
+    shown = plan(QUERIES["store_roundtrip"](spark, tables))
+    assert "Join" not in shown and "Union" not in shown
+
+
+NESTED = "<r><a k='1' n='x'>s<b>1</b><a k='2'><b k='9'>2<c>5</c></b><a n='x' k='1'>t<b>4</b><a/></a></a></a><a n='x'><b k='2'>8</b></a><d k='1'><a k='1'><b>16</b></a><b>32</b></d></r>"
+
+
+@pytest.mark.parametrize("path", ["//a[@k=1]/b/text()", "//a[@k='1']//text()", "//a[@k=1]/a/@k", "//a[@k]/a", "/r/a[@k=1]//b", "/r/a[@n='x'][@k]//a/@n", "//a[@k=2 or @n='x']/b/text()", "//a[@k=1 and @n='x']/a/b", "/r/a[2][@n]/b/@k", "//d[@k]/*/b", "//a[@*]/b"])
+def test_below_elements_with_attributes(spark, path):
+    """Elements within one another, each with attributes of its own, against steps taken by hand."""
+    nodes = shred(spark.createDataFrame([(1, NESTED), (2, "<r><a k='2'><b>1</b></a></r>")], "doc_id long, xml string"))
+    import xml.etree.ElementTree as ET
+
+    tests = {"@k=1": lambda e: e.get("k") == "1", "@k='1'": lambda e: e.get("k") == "1", "@k": lambda e: "k" in e.attrib, "@n": lambda e: "n" in e.attrib, "@n='x'": lambda e: e.get("n") == "x", "@*": lambda e: bool(e.attrib)}
+    tests |= {"@k=2 or @n='x'": lambda e: e.get("k") == "2" or e.get("n") == "x", "@k=1 and @n='x'": lambda e: e.get("k") == "1" and e.get("n") == "x"}
+
+    def texts(e):
+        return [t for t in [e.text, *[c.tail for c in e]] if t]
+
+    def steps(found, rest):
+        for skip, name, predicates in re.findall(r"/(/?)([^/\[]+)((?:\[[^\]]*\])*)", rest):
+            if skip:
+                found = [d for e in found for d in e.iter()]
+            if name[0] == "@":
+                return [e.get(name[1:]) for e in found if name[1:] in e.attrib]
+            if name == "text()":
+                return [t for e in dict.fromkeys(found) for t in texts(e)]
+            new = []
+            for e in found:
+                here = [c for c in e if name in ("*", c.tag)]
+                for p in re.findall(r"\[([^\]]*)\]", predicates):
+                    here = [c for k, c in enumerate(here, 1) if (k == int(p) if p.isdigit() else tests[p](c))]
+                new += here
+            found = list(dict.fromkeys(new))
+        return [None] * len(found)
+
+    want = []
+    for xml in (NESTED, "<r><a k='2'><b>1</b></a></r>"):
+        top = ET.Element("top")
+        top.append(ET.fromstring(xml))
+        want += steps([top], path)
+    found = match(nodes, path, strict=False)
+    assert sorted(map(str, want)) == sorted(str(r["value"]) for r in found.collect())
+    assert found.count() == found.dropDuplicates(["doc_id", "pre"]).count()
