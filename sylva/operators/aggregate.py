@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.scalars import based_int, leading_float
 from sylva.model import COLUMNS, ELEMENT, TEXT, SpecError
-from sylva.plans.match import fixed, match, on_path, plain, within
+from sylva.plans.match import assigned, by_owner, fixed, match, on_path, owned, plain, within
 from sylva.plans.xpath import Path, parse
 
 NUMERIC = {"int", "float", "depth", "length"}
@@ -99,6 +99,8 @@ def aggregate(nodes: DataFrame, context: str, aggs: list[Agg], strict: bool = Tr
     simple = all(len(p.alternatives) == 1 and plain(p.steps) for p in [ctx, *paths]) and fixed(ctx.steps)
     if simple:
         return _one_pass(nodes, ctx, aggs, paths)
+    if len(ctx.alternatives) == 1 and by_owner(ctx.steps) and all(len(p.alternatives) == 1 and not p.is_document and plain(p.steps) for p in paths):
+        return _by_element(nodes, ctx, aggs, paths)
     if ctx.is_document:
         contexts = nodes.select("doc_id").distinct().withColumn("ctx_pre", F.lit(0))
     else:
@@ -149,6 +151,38 @@ def _one_pass(nodes: DataFrame, ctx: Path, aggs: list[Agg], paths: list[Path]) -
     return rows.where("ctx_pre is not null").groupBy("doc_id", "ctx_pre").agg(*[_typed(a, _expression(a, *t)) for a, t in zip(aggs, tests, strict=True)])
 
 
+def _by_element(nodes: DataFrame, ctx: Path, aggs: list[Agg], paths: list[Path]) -> DataFrame:
+    """All aggregates from one scan, for contexts with tests of their own attributes and text, or within one another.
+
+    Whatever is on the label path of a context is grouped with what lies within it; the tests are settled by the same grouping.
+    """
+    texts = [a.parts()[0] == "sum" and a.scalar == "text" for a in aggs]  # null without a match, empty without text in it
+    disjoint, counted = fixed(ctx.steps), any(texts) or any(a.parts()[0] == "count" for a in aggs)
+    here, tests, holds = owned(ctx.steps)
+    ends = [r"(?:/[^/@()]+)*/text\(\)" if p.steps[-1].kind == "element" else "" for p in paths]
+    text = F.col("kind") == TEXT
+    wanted = [on_path(ctx.steps + p.steps) if counted else text & on_path(ctx.steps + p.steps, end) for p, end in zip(paths, ends, strict=True)]
+    wanted += [text & on_path(ctx.steps + p.steps, end) for p, end in zip(paths, ends, strict=True) if counted and end]
+    within_, own = reduce(lambda a, b: a | b, wanted), reduce(lambda a, b: a | b, tests.values(), F.lit(False))
+    rows = nodes.where(here | own | within_)
+    if counted:  # a context may be counted itself
+        rows = rows.withColumn("_mark", F.explode(F.array_compact(F.array(F.when(here, F.lit(True)), F.when(own | within_, F.lit(False))))))
+    else:
+        rows = rows.withColumn("_mark", here)
+    rows = rows.withColumn("_outer", F.when(F.col("_mark"), F.struct("pre", "last", "path"))).withColumn("_depth", F.col("depth"))
+    rows = assigned(rows, disjoint).where(F.col("_at.last") >= F.col("pre"))
+    rest, inner = F.substring(F.col("path"), F.length("_at.path") + 1, F.length("path")), F.col("_outer").isNull()
+    made, flags = [], []
+    for a, p, end, joined in zip(aggs, paths, ends, texts, strict=True):
+        node = inner & on_path(p.steps, path=rest)
+        run = inner & text & (on_path(p.steps, end, rest) if end else on_path(p.steps, path=rest))
+        made.append(_typed(a, F.when(F.bool_or(node | run), _expression(a, node, run)) if joined else _expression(a, node, run)))
+    for name, test in tests.items():
+        flags.append(F.bool_or(inner & (F.col("parent") == F.col("_at.pre")) & test).alias(name))
+    out = rows.groupBy("doc_id", F.col("_at.pre").alias("ctx_pre")).agg(*made, *flags)
+    return out.where(holds).select("doc_id", "ctx_pre", *[a.alias() for a in aggs])
+
+
 @dataclass(frozen=True)
 class Context:
     path: str

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from sylva.operators import aggregate as ag
 from sylva.operators import arrange as ar
 from sylva.operators import edit
 from sylva.operators.serialize import to_xml
@@ -140,6 +141,12 @@ def test_store_is_read_once(spark, tables):
     assert "Join" not in shown and "Union" not in shown
 
 
+def test_filtered_contexts_join_nothing(spark, tables):
+    same(spark, tables, "agg_filtered_context")
+    shown = plan(QUERIES["agg_filtered_context"](spark, tables))
+    assert "Join" not in shown and shown.count("Union") == 2  # of orders and lines, in both plans
+
+
 NESTED = "<r><a k='1' n='x'>s<b>1</b><a k='2'><b k='9'>2<c>5</c></b><a n='x' k='1'>t<b>4</b><a/></a></a></a><a n='x'><b k='2'>8</b></a><d k='1'><a k='1'><b>16</b></a><b>32</b></d></r>"
 
 
@@ -180,3 +187,15 @@ def test_below_elements_with_attributes(spark, path):
     found = match(nodes, path, strict=False)
     assert sorted(map(str, want)) == sorted(str(r["value"]) for r in found.collect())
     assert found.count() == found.dropDuplicates(["doc_id", "pre"]).count()
+
+
+@pytest.mark.parametrize("context", ["//a[@k=1]", "//a[@k=2 or text()='s']", "/r/a[2][@n]"])
+def test_aggregates_of_contexts_within_one_another(spark, monkeypatch, context):
+    """One scan gives what matches of the contexts, and of each path from them, give."""
+    nodes = shred(spark.createDataFrame([(1, NESTED), (2, "<r><a k='2'><b>1</b></a></r>")], "doc_id long, xml string"))
+    specs = [("count", "int", "//a"), ("max", "float", "//b"), ("sum", "text", "a"), ("count", "int", ".")]
+    aggs = [ag.Agg(*s, f"v{k}") for k, s in enumerate(specs)]
+    rows = lambda: sorted(map(str, ag.aggregate(nodes, context, aggs, strict=False).collect()))
+    got = rows()
+    monkeypatch.setattr(ag, "by_owner", lambda steps: False)
+    assert got == rows() and got
