@@ -312,7 +312,7 @@ def _kind(step: Step) -> Column:
     return test & (F.col("tag") == step.name) if step.name is not None and step.kind != "text" else test
 
 
-def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, disjoint: bool) -> DataFrame:
+def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, disjoint: bool, once: bool = False) -> DataFrame:
     """Matches of steps from the document, or from each node of scope (which has SCOPE)."""
     carry = [] if scope is None else SCOPE
     found, at_root = scope, scope is None
@@ -330,7 +330,7 @@ def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, di
         disjoint &= fixed(run)
         trail = None if trail is None else trail + run
         reached = nodes.where(on_path(trail)) if trail else nodes.where(_kind(real[-1])) if real else nodes
-        if at_root and _settled_before(run, steps):
+        if once and at_root and _settled_before(run, steps):
             return below(nodes, run, steps)
         if at_root:
             found, at_root = _filtered(nodes, None, run, disjoint), False
@@ -346,11 +346,13 @@ def _walk(nodes: DataFrame, steps: tuple[Step, ...], scope: DataFrame | None, di
     return found
 
 
-def match(nodes: DataFrame, path: str | Path, scope: DataFrame | None = None, scope_path: Path | None = None, strict: bool = True) -> DataFrame:
+def match(nodes: DataFrame, path: str | Path, scope: DataFrame | None = None, scope_path: Path | None = None, strict: bool = True, once: bool = False) -> DataFrame:
     """The nodes that a path selects, as rows of the node table.
 
     scope: matches that the path is relative to, with all node columns; the result then has ctx_pre, ctx_last and ctx_path of
     the match each node was reached from, and a node reached from several has several rows. Without scope a node has one row.
+    once: below elements with tests of their attributes nodes are read once, by below(), and not joined; for large tables of which
+    much is matched. A join carries less where few elements pass.
     The path `/` selects the document, which has no row; operators treat it apart.
     """
     path = parse(path, strict) if isinstance(path, str) else path
@@ -358,7 +360,7 @@ def match(nodes: DataFrame, path: str | Path, scope: DataFrame | None = None, sc
         raise ValueError("the document itself has no row")
     base = None if scope is None else scope.select(*COLUMNS, F.col("pre").alias("ctx_pre"), F.col("last").alias("ctx_last"), F.col("path").alias("ctx_path"))
     disjoint = scope is None or scope_path is not None and all(fixed(s) for s in scope_path.alternatives) and len(scope_path.alternatives) == 1
-    parts = [_walk(nodes, steps, base, disjoint) for steps in path.alternatives]
+    parts = [_walk(nodes, steps, base, disjoint, once) for steps in path.alternatives]
     if len(parts) == 1:
         return parts[0]
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "pre", *([] if scope is None else ["ctx_pre"])])

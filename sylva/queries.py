@@ -303,7 +303,7 @@ def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A node table written in order of its paths, found to be one, and read again row group by row group."""
     path = scratch_path(spark, "sylva-nodes")
     documents.write_nodes(publish.orders_documents(spark, d), path)
-    return match(documents.read_documents(spark, path), "//lineitem[@flag='R']/price/text()").select("doc_id", "pre", "value")
+    return match(documents.read_documents(spark, path), "//lineitem[@flag='R']/price/text()", once=True).select("doc_id", "pre", "value")
 
 
 @query("read_files", "SELECT r_name AS name, CAST(count(n_nationkey) AS BIGINT) AS n, min(n_name) AS low FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
